@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import packing, tokens
+from . import packing, quality, tokens
+
+
+def p1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "articles"), table(spark, sf_dir, "common_words"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_quality(spark, sf_dir).filter("verdict = 'not prose'").select("id").distinct()
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +33,4 @@ def p7_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_containers, p7_placements)}
+    return {f.__name__: f for f in (p1_found, p1_quality, p6_ids, p7_containers, p7_placements)}
