@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import packing, quality, tokens
+from . import packing, quality, spam, tokens
 
 
 def p1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +32,13 @@ def p7_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_containers(spark, sf_dir).select("container_kind", "container_id", F.inline("items"))
 
 
+def p8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_pages(spark, sf_dir).filter("is_spam").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_quality, p6_ids, p7_containers, p7_placements)}
+    return {f.__name__: f for f in (p1_found, p1_quality, p6_ids, p7_containers, p7_placements, p8_found, p8_pages)}
