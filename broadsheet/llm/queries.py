@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, neardup, packing, quality, spam, tokens
+from . import encoding, names, neardup, packing, quality, spam, tokens
 
 
 def p1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.pairs(p2_groups(spark, sf_dir))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variants(*(table(spark, sf_dir, t) for t in ("entity_recognition", "biblio_enriched", "given_names")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs_of(p3_classes(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find(table(spark, sf_dir, "articles"), ["content", "title"])
 
@@ -57,4 +65,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_quality, p2_found, p2_groups, p4_found, p4_restored, p6_ids, p7_containers, p7_placements, p8_found, p8_pages)}
+    return {f.__name__: f for f in (p1_found, p1_quality, p2_found, p2_groups, p3_found, p3_classes, p4_found, p4_restored, p6_ids, p7_containers, p7_placements, p8_found, p8_pages)}
