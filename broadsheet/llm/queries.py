@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, names, neardup, packing, quality, spam, tokens
+from . import encoding, names, neardup, packing, quality, scans, spam, tokens
 
 
 def p1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,18 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find(table(spark, sf_dir, "articles"), ["content", "title"], restore=True)
 
 
+def _scans(spark: SparkSession, sf_dir: str, restore: bool) -> DataFrame:
+    return scans.find(table(spark, sf_dir, "articles"), table(spark, sf_dir, "common_words"), ["content", "original_content"], restore=restore)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir, False)
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir, True)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -65,4 +77,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_quality, p2_found, p2_groups, p3_found, p3_classes, p4_found, p4_restored, p6_ids, p7_containers, p7_placements, p8_found, p8_pages)}
+    return {f.__name__: f for f in (p1_found, p1_quality, p2_found, p2_groups, p3_found, p3_classes, p4_found, p4_restored, p5_found, p5_repaired, p6_ids, p7_containers, p7_placements, p8_found, p8_pages)}
