@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import aggregating, filtering, joining, modeling, ranking, reshaping, strings  # noqa: F401
+from .base import ORACLE, QUERIES
 
 
 def queries() -> dict:
