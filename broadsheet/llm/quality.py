@@ -53,7 +53,7 @@ def measure(text: str, common: frozenset[str], langs: dict[str, frozenset[str]])
 def common_words(words: DataFrame) -> dict[str, frozenset[str]]:
     """The table of common words, a dimension of a few hundred rows, by language."""
     out: dict[str, set[str]] = {}
-    for r in words.select("lang", "word").filter("word is not null").distinct().limit(100_000).collect():
+    for r in words.select("lang", "word").filter("word is not null").distinct().collect():
         out.setdefault(r[0] or "", set()).add(r[1].lower())
     return {k: frozenset(v) for k, v in out.items()}
 

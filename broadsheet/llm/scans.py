@@ -199,42 +199,55 @@ def joins(table: DataFrame) -> DataFrame:
     return whole.join(words.select(F.col("a").alias("c"), F.col("n").alias("compound")), F.concat_ws("-", "left", "right") == F.col("c"), "left").filter("whole > coalesce(compound, 0)").select(F.concat_ws(" ", "left", "right").alias("token"))
 
 
-def context(docs: DataFrame, fields: list[str], words: set[str]) -> dict[tuple[str, str], int]:
-    """Counts of the bigrams of ``words``, the candidates of tokens with several, with the words beside them."""
-    if not words:
-        return {}
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+def decisions(docs: DataFrame, fields: list[str], fixes: DataFrame, papers: list[str], most: int) -> DataFrame:
+    """``key, meant`` for every context of a token with several candidates; the key is the word before, the token, the word after.
+
+    A candidate's score is what its misreading costs less what the corpus's bigrams with the words beside it are worth.
+    The words whose bigrams are counted are known to the tasks up to ``most`` of them; beyond, all are counted and joined.
+    """
+    several = materialize(fixes.filter(F.size("found") > 1), "several")
+    options = several.select("token", F.inline("found"))
+    wanted = options.select(F.col("meant").alias("w")).unionByName(several.select(F.col("token").alias("w"))).distinct()
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect())) if wanted.count() <= most else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = known.value
+        furniture = Furniture(papers)
+        w = known.value if known else None
         for b in batches:
-            pairs: Counter = Counter()
+            seen: Counter = Counter()
             for x in _rows(b):
-                t = [core(y) for y in x.split()]
-                for k, y in enumerate(t):
-                    if y in w:
-                        if k:
-                            pairs[t[k - 1], y] += 1
-                        if k + 1 < len(t):
-                            pairs[y, t[k + 1]] += 1
-            c = list(zip(*((*k, n) for k, n in pairs.items()), strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64())], ["a", "b", "n"])
-
-    got = _texts(docs, fields).mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return {(r[0], r[1]): r[2] for r in got.filter("n >= 3").orderBy(F.desc("n"), "a", "b").limit(200_000).collect()}
+                x, _ = furniture.strip(x)
+                t = ["", *map(core, x.split()), ""]
+                for k in range(1, len(t) - 1):
+                    if w is None or t[k] in w:
+                        seen[t[k - 1], t[k], t[k + 1]] += 1
+            c = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in c[:3]), pa.array(c[3], pa.int64())], ["before", "w", "after", "n"])
+
+    seen = _texts(docs, fields).mapInArrow(run, "before string, w string, after string, n long")
+    seen = seen if known else seen.join(wanted, "w", "left_semi")
+    seen = materialize(seen.groupBy("before", "w", "after").agg(F.sum("n").alias("n")), "contexts")
+    left = seen.groupBy("before", F.col("w").alias("meant")).agg(F.sum("n").alias("n_before"))
+    right = seen.groupBy(F.col("w").alias("meant"), "after").agg(F.sum("n").alias("n_after"))
+    rows = seen.select("before", F.col("w").alias("token"), "after").join(options, "token")
+    rows = rows.join(left, ["before", "meant"], "left").join(right, ["meant", "after"], "left")
+    score = 0.3 * (F.coalesce("n_before", F.lit(0)) > 0).cast("double") + 0.3 * (F.coalesce("n_after", F.lit(0)) > 0).cast("double") - F.col("cost")
+    return rows.groupBy(F.concat_ws("\t", "before", "token", "after").alias("key")).agg(F.max_by("meant", F.struct(score.alias("s"), "n", "meant")).alias("meant"))
 
 
 class Repairer:
     """Finds and repairs noise: ``fixes`` token -> [(meant, cost, n)], ``broken`` pairs ``left right`` that are one word."""
 
-    def __init__(self, papers: list[str], common: frozenset[str], fixes: dict[str, list[tuple]], broken: set[str], bigrams: dict[tuple[str, str], int]):
-        self.furniture, self.common, self.fixes, self.broken, self.bigrams = Furniture(papers), common, fixes, broken, bigrams
+    def __init__(self, papers: list[str], common: frozenset[str], fixes: dict[str, list[tuple]], broken: set[str], decided: dict[str, str]):
+        self.furniture, self.common, self.fixes, self.broken, self.decided = Furniture(papers), common, fixes, broken, decided
 
     def choose(self, token: str, before: str, after: str) -> str:
         found = self.fixes[token]
-        if len(found) == 1:
-            return found[0][0]
-        return max(found, key=lambda f: (-f[1] + 0.3 * ((self.bigrams.get((before, f[0]), 0) > 0) + (self.bigrams.get((f[0], after), 0) > 0)), f[2], f[0]))[0]
+        if len(found) > 1:
+            meant = self.decided.get(f"{before}\t{token}\t{after}")
+            if meant:
+                return meant
+        return max(found, key=lambda f: (-f[1], f[2], f[0]))[0]
 
     def is_broken(self, m: re.Match) -> bool:
         a, mark, _, b = m.groups()
@@ -311,14 +324,12 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
     """
     spark = docs.sparkSession
     # The names of papers, a dimension that grows with the titles of the archive, not with its texts.
-    papers = [r[0] for r in docs.select(F.trim(F.col(f"`{paper}`"))).distinct().dropna().orderBy(F.col(docs.select(F.trim(F.col(f"`{paper}`"))).columns[0])).limit(20_000).collect()]
+    papers = sorted(r[0] for r in docs.select(F.trim(F.col(f"`{paper}`")).alias("p")).distinct().dropna().collect())
     common = frozenset().union(*common_words(words).values())
     table = materialize(counts(docs, fields, papers), "scan_counts")
     fixes = materialize(corrections(table).groupBy("token").agg(F.collect_list(F.struct("meant", "cost", "n")).alias("found")), "fixes")
     broken = materialize(joins(table).distinct(), "broken")
-    several = fixes.filter(F.size("found") > 1)
-    ambiguous = several.select(F.explode("found.meant")).distinct().limit(most).collect()
-    bigrams = context(docs, fields, {r[0] for r in ambiguous})
+    decided = materialize(decisions(docs, fields, fixes, papers, most), "decided")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, field string" + (", repaired string, n_broken int, n_misread int, n_furniture int" if restore else "")
     names = [x.split()[0] for x in schema.split(", ")]
@@ -340,8 +351,8 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
         return out
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), *(F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(fields)))
-    if fixes.count() + broken.count() <= most:
-        shared = spark.sparkContext.broadcast(({r[0]: [tuple(x) for x in r[1]] for r in fixes.collect()}, {r[0] for r in broken.collect()}, bigrams))
+    if fixes.count() + broken.count() + decided.count() <= most:
+        shared = spark.sparkContext.broadcast(({r[0]: [tuple(x) for x in r[1]] for r in fixes.collect()}, {r[0] for r in broken.collect()}, {r[0]: r[1] for r in decided.collect()}))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = Repairer(papers, common, *shared.value)
@@ -365,21 +376,25 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
                 for x in {x for x in texts if x}:
                     x, _ = furniture.strip(x)
                     found |= {f"{m[0].lower()} {m[3].lower()}" for m in BREAK.findall(x)}
-                    found |= {core(t) for t in BREAK.sub(" ", x).split()}
+                    t = ["", *map(core, x.split()), ""]
+                    found.update(t)
+                    found.update(map("\t".join, zip(t, t[1:], t[2:], strict=False)))
                 got += [(h, t) for t in found]
             c = list(zip(*got, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string())], ["h", "token"])
 
-    both = fixes.select("token", "found").unionByName(broken.select("token", F.lit(None).cast(fixes.schema["found"].dataType).alias("found")))
-    parts = rows.select("h", *cols).mapInArrow(tokens, "h long, token string").join(both, "token").groupBy("h").agg(F.collect_list(F.struct("token", "found")).alias("t"))
+    none = F.lit(None).cast(fixes.schema["found"].dataType).alias("found")
+    both = fixes.select("token", "found", F.lit(None).cast("string").alias("meant")).unionByName(broken.select("token", none, F.lit(None).cast("string").alias("meant"))).unionByName(decided.select(F.col("key").alias("token"), none, "meant"))
+    parts = rows.select("h", *cols).mapInArrow(tokens, "h long, token string").join(both, "token").groupBy("h").agg(F.collect_list(F.struct("token", "found", "meant")).alias("t"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Repairer(papers, common, {}, set(), bigrams)
+        r = Repairer(papers, common, {}, set(), {})
         for b in batches:
             out = []
             for k, *texts, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 r.fixes = {x["token"]: [(y["meant"], y["cost"], y["n"]) for y in x["found"]] for x in t or () if x["found"] is not None}
-                r.broken = {x["token"] for x in t or () if x["found"] is None}
+                r.broken = {x["token"] for x in t or () if x["found"] is None and x["meant"] is None}
+                r.decided = {x["token"]: x["meant"] for x in t or () if x["meant"] is not None}
                 out += judge(r, k, tuple(texts))
             yield emit(out, b.schema.field(0).type)
 
