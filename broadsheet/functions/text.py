@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]+"
 ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
@@ -131,7 +132,7 @@ def whole_word_count(c: Column, term: str) -> Column:
     return F.regexp_count(c, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){re.escape(term)}(?![\p{{L}}\p{{N}}_])"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode compatibility decomposition, for which Spark has no function."""
     import unicodedata
@@ -140,7 +141,7 @@ def nfkd(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts, as difflib has it; no built-in equals it."""
     import difflib
