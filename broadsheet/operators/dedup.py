@@ -24,37 +24,40 @@ def remove_exact(df: DataFrame) -> DataFrame:
     return df.join(first, "h", "left").filter((F.col("h") == "") | (F.col("id") == F.col("first"))).drop("first")
 
 
-def same_hash_within(df: DataFrame, days: int) -> DataFrame:
-    """Pairs ``id_a < id_b`` of equal digest whose dates (``d``) are at most ``days`` apart.
+def links_within(df: DataFrame, days: int) -> DataFrame:
+    """``id, links``: how many other articles of equal digest are at most ``days`` from it (``d``); those without any are left out.
 
-    Equi-join on digest and a bucket of ``days`` days; each row is also sent to the next bucket, and a pair is kept only in
-    the bucket of its earlier date, so it comes once.
+    Articles are counted by digest and day first, and days are compared, not articles: a text copied into a third of all
+    rows costs as many entries as it has days.
     """
-    width = max(1, days)
-    b = df.filter("h <> '' and d is not null").select("id", "d", "h", F.floor(F.datediff("d", F.lit("1900-01-01").cast("date")) / width).alias("b"))
-    left = b.select(F.col("id").alias("i"), F.col("d").alias("di"), "h", "b")
-    right = b.select(F.col("id").alias("j"), F.col("d").alias("dj"), "h", F.explode(F.array("b", F.col("b") - 1)).alias("b"), F.col("b").alias("own"))
-    p = left.join(right, ["h", "b"]).filter((F.datediff("dj", "di").between(0, days)) & ((F.col("di") < F.col("dj")) | ((F.col("di") == F.col("dj")) & (F.col("i") < F.col("j")))) & ((F.col("own") > F.col("b")) | (F.col("own") == F.col("b"))))
-    return p.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
+    b = df.filter("h <> '' and d is not null").select("id", "d", "h")
+    n = b.groupBy("h", "d").agg(F.count("*").alias("n"))
+    near = n.select("h", F.explode(F.sequence(F.date_sub("d", days), F.date_add("d", days))).alias("d"), "n").groupBy("h", "d").agg((F.sum("n") - 1).alias("links"))
+    return b.join(near, ["h", "d"]).filter("links > 0").select("id", "links")
+
+
+def day_copies(df: DataFrame, text: str = "content") -> DataFrame:
+    """``id, rep``: articles with equal normalised text and date stand for one another; the least id represents them."""
+    k = df.select("id", "d", F.md5(normalize_ws(F.col(text))).alias("h")).filter(F.col("d").isNotNull())
+    return k.join(k.groupBy("h", "d").agg(F.min("id").alias("rep")), ["h", "d"]).select("id", "rep")
 
 
 def near_duplicates(df: DataFrame, text: str = "content", days: int = 3, ratio: float = 0.85) -> DataFrame:
-    """Pairs at most ``days`` apart whose normalised texts have a sequence ratio of at least ``ratio``, with it.
+    """Pairs ``id_a, id_b, ratio`` at most ``days`` apart whose normalised texts have a sequence ratio of at least ``ratio``.
 
-    The ratio can't exceed 2 * shorter / (shorter + longer), which prunes by length; candidates share a day bucket and the
-    digest of some run of eight words near the beginning or the end, so no bucket pairs all articles of its days.
+    Pairs are between representatives: articles with the same text on the same day are one (``day_copies``). Candidates
+    share one of the twelve least hashes of their runs of five words and a bucket of ``days`` days; the ratio can't exceed
+    2 * shorter / (shorter + longer), which prunes by length before it is computed.
     """
     n = normalize_ws(F.col(text))
-    words = F.filter(F.split(n, " "), lambda x: x != "")
-    base = df.select("id", "d", n.alias("t"), words.alias("w")).filter("t <> '' and d is not null")
+    base = df.select("id", "d", n.alias("t")).filter("t <> '' and d is not null")
+    base = base.groupBy(F.md5("t").alias("h"), "d").agg(F.min("id").alias("id"), F.first("t").alias("t"))
+    words = F.filter(F.split("t", " "), lambda x: x != "")
     runs = F.when(F.size("w") < 5, F.array(F.xxhash64("t"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, 5)))))
-    low = F.slice(F.array_sort(runs), 1, 12)
-    keyed = base.select("id", "d", "t", F.explode(low).alias("k"))
-    # A run of words in more than 200 articles is a formula: it can't tell versions, which share others as well.
-    rare = keyed.groupBy("k").agg(F.count("*").alias("c")).filter("c between 2 and 200").select("k")
-    keyed = keyed.select("id", "d", "k").join(rare, "k")
-    right = keyed.select(F.col("id").alias("id_b"), F.col("d").alias("db"), "k")
-    cand = keyed.select(F.col("id").alias("id_a"), F.col("d").alias("da"), "k").join(right, "k").filter((F.col("id_a") < F.col("id_b")) & (F.abs(F.datediff("da", "db")) <= days)).select("id_a", "id_b").distinct()
+    width = max(1, days)
+    keyed = base.withColumn("w", words).select("id", "d", F.explode(F.slice(F.array_sort(runs), 1, 12)).alias("k"), F.floor(F.datediff("d", F.lit("1900-01-01").cast("date")) / width).alias("b"))
+    right = keyed.select(F.col("id").alias("j"), F.col("d").alias("dj"), "k", F.explode(F.array("b", F.col("b") - 1)).alias("b"))
+    cand = keyed.join(right, ["k", "b"]).filter((F.col("id") != F.col("j")) & (F.abs(F.datediff("d", "dj")) <= days)).select(F.least("id", "j").alias("id_a"), F.greatest("id", "j").alias("id_b")).distinct()
     t = base.select("id", "t")
     pairs = cand.join(t.select(F.col("id").alias("id_a"), F.col("t").alias("ta")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("t").alias("tb")), "id_b")
     s, g = F.least(F.length("ta"), F.length("tb")), F.greatest(F.length("ta"), F.length("tb"))
@@ -62,8 +65,10 @@ def near_duplicates(df: DataFrame, text: str = "content", days: int = 3, ratio:
     return pairs.filter(F.col("ratio") >= ratio).select("id_a", "id_b", "ratio")
 
 
-def merge_groups(pairs: DataFrame) -> DataFrame:
-    """``id, kept``: the least id of everything linked directly or through others."""
+def merge_groups(pairs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """``id, kept``: the least id of everything linked directly or through others, and of the copies (``id, rep``)."""
+    if copies is not None:
+        pairs = pairs.select("id_a", "id_b").unionByName(copies.filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b")))
     return connected_components(pairs, "id_a", "id_b").select(F.col("node").alias("id"), F.col("component").alias("kept"))
 
 

@@ -158,6 +158,6 @@ def text_classifier(seed: int = 42) -> Pipeline:
 
 
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
-    n = df.groupBy(label).agg(F.count("*").alias("c"))
-    total = n.agg(F.sum("c").alias("t"), F.count("*").alias("k"))
-    return df.join(F.broadcast(n.join(F.broadcast(total)).select(label, (F.col("t") / (F.col("k") * F.col("c"))).alias("weight"))), label)
+    n = df.groupBy(label).agg(F.count("*").alias("_c"))
+    total = n.agg(F.sum("_c").alias("_t"), F.count("*").alias("_k"))
+    return df.join(F.broadcast(n.join(F.broadcast(total)).select(label, (F.col("_t") / (F.col("_k") * F.col("_c"))).alias("weight"))), label)

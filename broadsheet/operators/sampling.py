@@ -36,12 +36,12 @@ def systematic(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def stratified(df: DataFrame, key: str, by: str, n: int, seed: int) -> DataFrame:
     """About ``n`` rows in the proportions of ``by``, at least one of each."""
-    sizes = df.groupBy(by).agg(F.count("*").alias("c"))
-    total = sizes.agg(F.sum("c").alias("t"))
-    quota = sizes.join(F.broadcast(total)).select(by, F.greatest(F.lit(1), F.round(F.col("c") / F.col("t") * n)).cast("int").alias("q"))
+    sizes = df.groupBy(by).agg(F.count("*").alias("_c"))
+    total = sizes.agg(F.sum("_c").alias("_t"))
+    quota = sizes.join(F.broadcast(total)).select(by, F.greatest(F.lit(1), F.round(F.col("_c") / F.col("_t") * n)).cast("int").alias("_q"))
     w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
     # At most n rows of a group can be in the sample: that limit is applied in each partition before the shuffle.
-    return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).join(F.broadcast(quota), by).filter(F.col("_k") <= F.col("q")).drop("_k", "q")
+    return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).join(F.broadcast(quota), by).filter(F.col("_k") <= F.col("_q")).drop("_k", "_q")
 
 
 def split(df: DataFrame, key: str, by: str, share: float, seed: int) -> DataFrame:

@@ -122,11 +122,11 @@ def _(c):
     return rows(c).join(c.biblio.filter("sentiment > 0.5").select(F.col("id_article").alias("id")), "id", "left_semi")
 
 
-@query("near_dup_range", f"""SELECT x.id AS id_a, y.id AS id_b FROM (SELECT id, d, CASE WHEN {NORM} = '' THEN '' ELSE md5(substring({NORM}, 1, 1000)) END AS h FROM a) x JOIN (SELECT id, d, CASE WHEN {NORM} = '' THEN '' ELSE md5(substring({NORM}, 1, 1000)) END AS h FROM a) y ON x.h = y.h AND x.h <> '' AND x.id < y.id AND abs(date_diff('day', x.d, y.d)) <= 3""")
+@query("near_dup_range", f"""SELECT x.id, count(*) AS links FROM (SELECT id, d, CASE WHEN {NORM} = '' THEN '' ELSE md5(substring({NORM}, 1, 1000)) END AS h FROM a) x JOIN (SELECT id, d, CASE WHEN {NORM} = '' THEN '' ELSE md5(substring({NORM}, 1, 1000)) END AS h FROM a) y ON x.h = y.h AND x.h <> '' AND x.id <> y.id AND abs(date_diff('day', x.d, y.d)) <= 3 GROUP BY x.id""")
 def _(c):
-    from ..operators.dedup import same_hash_within
+    from ..operators.dedup import links_within
 
-    return same_hash_within(rows(c, parse_date(F.col("date")).alias("d"), content_hash(F.col("content")).alias("h")), 3)
+    return links_within(rows(c, parse_date(F.col("date")).alias("d"), content_hash(F.col("content")).alias("h")), 3)
 
 
 @query("fuzzy_substring", "SELECT x, min(y) AS y FROM (SELECT DISTINCT source AS x FROM a WHERE source IS NOT NULL) JOIN (SELECT DISTINCT newspaper AS y FROM a WHERE newspaper IS NOT NULL) ON contains(y, x) OR contains(x, y) GROUP BY x")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregating, filtering, joining, modeling, ranking, reshaping, strings  # noqa: F401
+from . import aggregating, files, filtering, joining, modeling, ranking, reshaping, strings  # noqa: F401
 from .base import ORACLE, QUERIES
 
 

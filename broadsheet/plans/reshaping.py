@@ -114,7 +114,8 @@ def _(c):
 
 @query("merge_groups")
 def _(c):
-    return dedup.merge_groups(dedup.near_duplicates(rows(c, parse_date(F.col("date")).alias("d"), "content")))
+    df = rows(c, parse_date(F.col("date")).alias("d"), "content")
+    return dedup.merge_groups(dedup.near_duplicates(df), dedup.day_copies(df.filter("content is not null and trim(content) <> ''")))
 
 
 @query("fix_content")

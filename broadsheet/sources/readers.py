@@ -18,7 +18,7 @@ def read_json(spark: SparkSession, path: str, schema: str = ARTICLES) -> DataFra
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """One document for each non-blank line; ``doc_id`` is ``doc_`` and the line's number in the file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     return lines.filter(F.trim("text") != "").select(F.concat(F.lit("doc_"), F.col("line").cast("string")).alias("doc_id"), "text")
 
 
@@ -32,7 +32,7 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """``category, term`` of a term file: a list (category ``default``) or lists by category. A small dimension."""
     import json
 
-    raw = "".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+    raw = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     data = json.loads(raw)
     data = data if isinstance(data, dict) else {"default": data}
     return spark.createDataFrame([(c, t) for c, ts in data.items() for t in ts], "category string, term string")
@@ -58,7 +58,7 @@ def read_doc_topics(spark: SparkSession, path: str) -> DataFrame:
     Layouts: ``{doc_topic_matrix: [{doc_id, topic_distribution}]}``, ``{doc_topics: {id: {topic_distribution, dominant_topic}}}``,
     ``[{doc_id, topic_distribution}]`` and ``[[...]]`` (ids ``doc_<n>``).
     """
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     item = "struct<doc_id:string,id:string,topic_distribution:array<double>,dominant_topic:int>"
     matrix = raw.select(F.explode(F.from_json("value", f"struct<doc_topic_matrix:array<{item}>>")["doc_topic_matrix"]).alias("x")).select(F.coalesce("x.doc_id", "x.id").alias("id"), "x.topic_distribution", "x.dominant_topic")
     mapped = raw.select(F.explode(F.from_json("value", f"struct<doc_topics:map<string,{item}>>")["doc_topics"]).alias("id", "x")).select("id", "x.topic_distribution", "x.dominant_topic")
@@ -69,7 +69,7 @@ def read_doc_topics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, cluster`` of any layout: parallel arrays, a list of clusters, or ids by cluster."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     s = F.from_json("value", "struct<doc_ids:array<string>,labels:array<int>,document_ids:array<string>,document_clusters:array<struct<id:string,cluster:int>>>")
     one = rows_of_arrays(raw.select(s.alias("s")).select("s.doc_ids", "s.labels"), "doc_ids", "labels", "doc_id", "cluster")
     two = raw.select(F.explode(F.from_json("value", "struct<clusters:array<struct<id:int,articles:array<string>>>>")["clusters"]).alias("c")).filter("c.articles is not null").select(F.explode("c.articles").alias("doc_id"), F.col("c.id").alias("cluster"))
