@@ -80,9 +80,11 @@ def chains(word: str) -> dict[str, str]:
     return {g: c for g, c in out.items() if g != word and g.strip(EDGES)}
 
 
-def core(token: str) -> str:
-    """What a token is compared by: without signs at its edges, figures alike."""
-    return token.strip(EDGES).rstrip("?").translate(DIGITS)
+def forms_of(token: str) -> list[str]:
+    """The forms a token is looked up by: a question mark at its end can be a lost letter or a mark."""
+    kept = token.strip(EDGES).translate(DIGITS)
+    bare = kept.rstrip("?")
+    return [kept] if kept == bare else [kept, bare]
 
 
 def looks_clean(word: str) -> bool:
@@ -106,9 +108,9 @@ def words_of(tokens: Counter) -> Counter:
         t = t.decode()
         if t.isascii() and not QUESTION.search(t):
             continue
-        w = core(t)
-        if w and len(w) < 200:
-            out[w] += n
+        for w in forms_of(t):
+            if w and len(w) < 200:
+                out[w] += n
     return out
 
 
@@ -190,9 +192,9 @@ class Restorer:
         """The restored token; None if it isn't garbled; itself if the loss is final."""
         if t.isascii() and not QUESTION.search(t):
             return None
-        w = core(t)
-        o = self.table.get(w)
-        if o is not None:
+        w = next((w for w in forms_of(t) if w in self.table), None)
+        if w is not None:
+            o = self.table[w]
             k = t.translate(DIGITS).find(w)
             head, body, tail = t[:k], t[k : k + len(w)], t[k + len(w) :]
             figures = iter(c for c in body if c.isdecimal() and c.isascii())
