@@ -254,7 +254,7 @@ def _(c):
 def _(c):
     df = clustered(c).select("cluster", "id", F.split("id", "_")[2].alias("j"), year_from_id(F.col("id")).alias("y"))
     per = df.groupBy("cluster", "j").agg(F.count("*").alias("k"), F.sum("y").alias("ys"), F.count("y").alias("yn"))
-    return per.groupBy("cluster").agg(F.sum("k").alias("n"), F.round(F.sum("ys") / F.sum("yn"), 4).alias("year"), F.max_by("j", F.struct("k", "j")).alias("journal"))
+    return per.groupBy("cluster").agg(F.sum("k").alias("n"), F.round(F.sum("ys") / F.sum("yn"), 10).alias("year"), F.max_by("j", F.struct("k", "j")).alias("journal"))
 
 
 @query("cluster_topic_mean", f", {CL} SELECT cluster, " + ", ".join(f"round(avg(topic_distribution[{i + 1}]), 10) AS t{i}" for i in range(8)) + " FROM cl JOIN doc_topics USING (id) GROUP BY cluster")
