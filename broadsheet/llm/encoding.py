@@ -175,7 +175,7 @@ def units(letters: list[str]) -> list[tuple[str, str]]:
         for g, chain in chains(c).items():
             if len(g) < 2 or not chain.startswith("utf-8") or g.isascii() or LOST in g:
                 continue
-            if unicodedata.category(g[-1])[0] == "L" and unicodedata.category(g[0])[0] == "L" and not (g[0] in "ÃÂâÅĂĹГВРЁАБ" and not g[1:].islower()):
+            if unicodedata.category(g[-1]) in ("Lu", "Ll") and unicodedata.category(g[0])[0] == "L" and not (g[0] in "ÃÂâÅĂĹГВРЁАБ" and not g[1:].islower()):
                 continue
             out.setdefault(g, c)
     return sorted(out.items(), key=lambda x: (-len(x[0]), x[0]))
