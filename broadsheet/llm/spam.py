@@ -112,9 +112,9 @@ def judge(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "t
     b = figures.withColumn("bucket", F.floor(F.log2(F.greatest(F.lit(16), "bytes"))))
     usual = b.filter("prose and words >= 5").groupBy("lang", "bucket").agg(F.percentile_approx("ratio", F.array(F.lit(0.5), F.lit(0.9)), 1000).alias("q"), F.count("*").alias("n")).filter("n >= 20")
     # A row for each language and power of two: some dozens. What has no such row (a rare length) is held against all prose.
-    base = b.filter("prose and words >= 5").agg(F.percentile_approx("ratio", F.array(F.lit(0.5), F.lit(0.9)), 1000).alias("q0"))
-    b = b.join(F.broadcast(usual.select("lang", "bucket", "q")), ["lang", "bucket"], "left").join(F.broadcast(base))
-    q = F.coalesce("q", "q0", F.array(F.lit(1.3), F.lit(1.5)))
+    base = b.filter("prose and words >= 5").agg(F.percentile_approx("ratio", F.array(F.lit(0.5), F.lit(0.9)), 1000).alias("q0")).first()["q0"]
+    b = b.join(F.broadcast(usual.select("lang", "bucket", "q")), ["lang", "bucket"], "left")
+    q = F.coalesce("q", F.array(*(F.lit(float(x)) for x in base or (1.3, 1.5))))
     spread = F.greatest(F.lit(0.04), (q[1] - q[0]) / 1.28)
     b = b.withColumn("redundancy", (F.col("ratio") - q[0]) / spread)
     listed = F.expr("links >= 0.15 and figures < 1") | ((F.col("redundancy") > far) & F.expr("words >= 6 and ends < 0.4 and common < 0.22 and figures < 0.3"))
