@@ -112,7 +112,7 @@ def _(c):
 
 @query("cls12")
 def _(c):
-    return labelling.label_batches(rows(c, F.regexp_replace("content", r"\s+", " ").alias("text")).filter("text like '%vendre%'"), by_words, batch=1)
+    return labelling.label_batches(rows(c, F.regexp_replace("content", r"\s+", " ").alias("text")), by_words, batch=1)
 
 
 @query("topic_naming")

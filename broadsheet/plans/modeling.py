@@ -111,7 +111,7 @@ def _(c):
     from pyspark.ml.functions import vector_to_array
 
     t, periods = by_period(c)
-    vectors = {p: materialize(models.word_vectors(t.filter(F.col("period") == p), 10).getVectors().select("word", vector_to_array("vector").alias("vector")), "w2v") for p in periods[:3]}
+    vectors = {p: materialize(models.word_vectors(t.filter(F.col("period") == p), 10).getVectors().select("word", vector_to_array("vector").alias("vector")), "w2v") for p in periods}
     return models.semantic_drift(vectors, ["tunnel", "pont", "commission", "ordinateur"])
 
 
