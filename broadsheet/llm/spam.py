@@ -30,6 +30,8 @@ from .quality import common_words
 ADDRESS = re.compile(r"(?:https?:)?//[^\s\]\)>]+|\bwww\.[^\s\]\)>]+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/[^\s\]\)>]*)?(?![\w.])")
 TAG = re.compile(r"(?<!\S)[#+@][^\W\d_][\w-]*")
 TOKEN = re.compile(r"[^\W\d_]{2,}|\d+")
+#: Without any of these a block has no address; most prose has none.
+DOTTED = re.compile(r"//|\.[\w-]")
 #: Characters of a block: long enough to compress, short enough to find spam beside prose.
 BLOCK = 1200
 SCHEMA = "lang string, prose boolean, chars int, bytes int, ratio double, ends double, common double, figures double, links double, words int, key_block double, key_doc double, doc_words int"
@@ -60,8 +62,8 @@ def measure(text: str, common: frozenset[str], langs: dict[str, frozenset[str]])
     """A row of figures for each block with words."""
     parts, total = [], Counter()
     for block, prose in blocks(text, common):
-        rest, n_address = ADDRESS.subn(" ", block)
-        rest, n_tag = TAG.subn(" ", rest)
+        rest, n_address = ADDRESS.subn(" ", block) if DOTTED.search(block) else (block, 0)
+        rest, n_tag = TAG.subn(" ", rest) if "#" in rest or "+" in rest or "@" in rest else (rest, 0)
         tokens = TOKEN.findall(rest.lower())
         words = [w for w in tokens if not w[0].isdecimal()]
         content = [w for w in words if w not in common]
