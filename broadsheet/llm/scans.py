@@ -39,6 +39,8 @@ SIGNS = "0135689@|†ν"
 EDGES = " .,;:!?«»()\"“”„[]…*\t\n\r"
 ELISION = re.compile(r"^(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu|presqu|quelqu|aujourd|un|all|dell|nell|dall|sull)['’](?=[^\W_@|†])", re.I)
 ODD = re.compile(rf"[^\W\d_][{SIGNS}]|[{SIGNS}][^\W\d_]|[^\W\d_]'[^\W\d_]")
+#: Marks the entry of a plain word's occurrences with capitals.
+CAPITAL = "\x02"
 PLAIN = re.compile(r"[^\W\d_]{4,}")
 #: A broken word; a page's number can have come between its pieces.
 BREAK = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,})(-|–|¬|\xad)([ \t]*\r?\n\s*|[ \t]+)(?:\d{1,4}[ \t]*\s)?([^\W\d_]{2,})")
@@ -56,6 +58,26 @@ def core(token: str) -> str:
     return (t[m.end() :] if m else t).lower()
 
 
+def is_word(c: str) -> bool:
+    return bool(PLAIN.fullmatch(c)) or "-" in c
+
+
+def entry(token: str, c: str) -> str:
+    """Where the misreadings of a token of core ``c`` are kept: plain words in lower case and with capitals apart."""
+    return c if c in token or not is_word(c) else c + CAPITAL
+
+
+class Cores(dict):
+    """Core and entry of each token, worked out once; emptied when it has grown large."""
+
+    def __missing__(self, token: str) -> tuple[str, str]:
+        if len(self) > 200_000:
+            self.clear()
+        c = core(token)
+        self[token] = out = c, entry(token, c)
+        return out
+
+
 class Furniture:
     """Headers and page numbers. ``papers`` are the names of the papers."""
 
@@ -146,9 +168,9 @@ def counts(docs: DataFrame, fields: list[str], papers: list[str]) -> DataFrame:
             o: Counter = Counter()
             for t, n in words.items():
                 c = core(t)
-                if PLAIN.fullmatch(c) or "-" in c:
-                    # Words that are names are kept apart from those in lower case: a name's slips are no misreadings.
-                    w[c, "" if t.strip(EDGES)[-len(c) :].islower() else "N"] += n
+                if is_word(c):
+                    # Occurrences with capitals are kept apart from those in lower case.
+                    w[c, "N" if entry(t, c) != c else ""] += n
                 elif len(c) > 2 and ODD.search(c):
                     o[c, ""] += n
             rows = [("w", *k, n) for k, n in w.items()] + [("o", *k, n) for k, n in o.items()] + [("b", *k, n) for k, n in pieces.items()]
@@ -159,11 +181,16 @@ def counts(docs: DataFrame, fields: list[str], papers: list[str]) -> DataFrame:
 
 
 def corrections(table: DataFrame) -> DataFrame:
-    """``token, meant, cost, n`` of every token that can be a misreading of a lexicon word."""
+    """``token, meant, cost, n, strict`` of every entry that can be a misreading of a lexicon word.
+
+    Occurrences in lower case are judged by their own count, so that capitals elsewhere don't keep them; where the token
+    with its capitals is too frequent for a slip (a name), the candidate is ``strict``: only the words beside it can decide
+    for it. Occurrences with capitals are judged by the whole count, as a word begins sentences in any form.
+    """
     words = table.filter("kind = 'w'").groupBy("a").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("b") == "", F.col("n")).otherwise(0)).alias("lower"))
     lexicon = words.filter("n >= 3 and length(a) <= 40 and instr(a, '-') = 0").select("a", "n")
-    plain = words.filter("lower = n and length(a) between 5 and 40 and instr(a, '-') = 0").select("a", "n", F.lit(False).alias("odd"))
-    odd = table.filter("kind = 'o' and length(a) between 3 and 40").select("a", "n", F.lit(True).alias("odd"))
+    plain = words.filter("length(a) between 5 and 40 and instr(a, '-') = 0").select("a", "n", "lower", F.lit(False).alias("odd"))
+    odd = table.filter("kind = 'o' and length(a) between 3 and 40").select("a", "n", F.col("n").alias("lower"), F.lit(True).alias("odd"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -179,16 +206,19 @@ def corrections(table: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(c.take(pa.array(at, pa.int32())) for c in part.columns)], ["key", *part.schema.names])
 
     right = lexicon.mapInArrow(entries, "key long, a string, n long").select("key", F.col("a").alias("meant"), F.col("n").alias("m"))
-    left = plain.unionByName(odd).mapInArrow(entries, "key long, a string, n long, odd boolean")
-    met = left.join(right, "key").filter((F.col("a") != F.col("meant")) & (F.col("odd") & (F.col("m") >= F.col("n")) | ~F.col("odd") & (F.col("m") >= 10) & (F.col("m") >= 20 * F.col("n")))).select("a", "n", "meant", "m").distinct()
+    left = plain.unionByName(odd).mapInArrow(entries, "key long, a string, n long, lower long, odd boolean")
+    m, n, low = F.col("m"), F.col("n"), F.col("lower")
+    met = left.join(right, "key").filter((F.col("a") != F.col("meant")) & (F.col("odd") & (m >= n) | ~F.col("odd") & (m >= 10) & (m >= 20 * F.when(low > 0, low).otherwise(n)))).drop("key").distinct()
+    small = met.filter(F.col("odd") | (low > 0)).select("a", "meant", "m", F.col("a").alias("token"), (~F.col("odd") & (m < 20 * n)).alias("strict"))
+    capitals = met.filter(~F.col("odd") & (n > low) & (m >= 20 * n)).select("a", "meant", "m", F.concat("a", F.lit(CAPITAL)).alias("token"), F.lit(False).alias("strict"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cost = [misreading(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            cost = [misreading(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             keep = pa.array([c is not None for c in cost], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cost, pa.float64()), b.column(3)], ["token", "meant", "cost", "n"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(1), pa.array(cost, pa.float64()), b.column(2), b.column(4)], ["token", "meant", "cost", "n", "strict"]).filter(keep)
 
-    return met.mapInArrow(weigh, "token string, meant string, cost double, n long")
+    return small.unionByName(capitals).mapInArrow(weigh, "token string, meant string, cost double, n long, strict boolean")
 
 
 def joins(table: DataFrame) -> DataFrame:
@@ -202,52 +232,60 @@ def joins(table: DataFrame) -> DataFrame:
 def decisions(docs: DataFrame, fields: list[str], fixes: DataFrame, papers: list[str], most: int) -> DataFrame:
     """``key, meant`` for every context of a token with several candidates; the key is the word before, the token, the word after.
 
-    A candidate's score is what its misreading costs less what the corpus's bigrams with the words beside it are worth.
-    The words whose bigrams are counted are known to the tasks up to ``most`` of them; beyond, all are counted and joined.
+    A candidate's score is what its misreading costs less what the corpus's bigrams with the words beside it are worth; one
+    that is strict needs both. The words whose contexts (tokens) and bigrams (candidates) are counted are known to the
+    tasks up to ``most`` of them; beyond, all are counted and joined.
     """
-    several = materialize(fixes.filter(F.size("found") > 1), "several")
+    several = materialize(fixes.filter((F.size("found") > 1) | F.exists("found", lambda x: x["strict"])), "several")
     options = several.select("token", F.inline("found"))
-    wanted = options.select(F.col("meant").alias("w")).unionByName(several.select(F.col("token").alias("w"))).distinct()
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect())) if wanted.count() <= most else None
+    wanted = several.select(F.lit("t").alias("kind"), F.col("token").alias("w")).unionByName(options.select(F.explode(F.array(F.lit("l"), F.lit("r"))).alias("kind"), F.col("meant").alias("w"))).distinct()
+    known = docs.sparkSession.sparkContext.broadcast({k: frozenset(r[1] for r in got if r[0] == k) for got in [wanted.collect()] for k in "tl"}) if wanted.count() <= most else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        furniture = Furniture(papers)
-        w = known.value if known else None
+        furniture, cores = Furniture(papers), Cores()
+        tokens, meant = (known.value["t"], known.value["l"]) if known else (None, None)
         for b in batches:
             seen: Counter = Counter()
             for x in _rows(b):
                 x, _ = furniture.strip(x)
-                t = ["", *map(core, x.split()), ""]
-                for k in range(1, len(t) - 1):
-                    if w is None or t[k] in w:
-                        seen[t[k - 1], t[k], t[k + 1]] += 1
-            c = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in c[:3]), pa.array(c[3], pa.int64())], ["before", "w", "after", "n"])
-
-    seen = _texts(docs, fields).mapInArrow(run, "before string, w string, after string, n long")
-    seen = seen if known else seen.join(wanted, "w", "left_semi")
-    seen = materialize(seen.groupBy("before", "w", "after").agg(F.sum("n").alias("n")), "contexts")
-    left = seen.groupBy("before", F.col("w").alias("meant")).agg(F.sum("n").alias("n_before"))
-    right = seen.groupBy(F.col("w").alias("meant"), "after").agg(F.sum("n").alias("n_after"))
-    rows = seen.select("before", F.col("w").alias("token"), "after").join(options, "token")
+                both = [cores[t] for t in x.split()]
+                t = ["", *(c for c, _ in both), ""]
+                for k, (c, e) in enumerate(both, 1):
+                    if tokens is None or e in tokens:
+                        seen["t", t[k - 1], e, t[k + 1]] += 1
+                    if meant is None or c in meant:
+                        seen["l", t[k - 1], c, ""] += 1
+                        seen["r", "", c, t[k + 1]] += 1
+            c = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in c[:4]), pa.array(c[4], pa.int64())], ["kind", "before", "w", "after", "n"])
+
+    seen = _texts(docs, fields).mapInArrow(run, "kind string, before string, w string, after string, n long")
+    seen = seen if known else seen.join(wanted, ["kind", "w"], "left_semi")
+    seen = materialize(seen.groupBy("kind", "before", "w", "after").agg(F.sum("n").alias("n")), "contexts")
+    left = seen.filter("kind = 'l'").select("before", F.col("w").alias("meant"), F.col("n").alias("n_before"))
+    right = seen.filter("kind = 'r'").select(F.col("w").alias("meant"), "after", F.col("n").alias("n_after"))
+    rows = seen.filter("kind = 't'").select("before", F.col("w").alias("token"), "after").join(options, "token")
     rows = rows.join(left, ["before", "meant"], "left").join(right, ["meant", "after"], "left")
+    rows = rows.filter("not strict or n_before > 0 and n_after > 0")
     score = 0.3 * (F.coalesce("n_before", F.lit(0)) > 0).cast("double") + 0.3 * (F.coalesce("n_after", F.lit(0)) > 0).cast("double") - F.col("cost")
     return rows.groupBy(F.concat_ws("\t", "before", "token", "after").alias("key")).agg(F.max_by("meant", F.struct(score.alias("s"), "n", "meant")).alias("meant"))
 
 
 class Repairer:
-    """Finds and repairs noise: ``fixes`` token -> [(meant, cost, n)], ``broken`` pairs ``left right`` that are one word."""
+    """Finds and repairs noise: ``fixes`` entry -> [(meant, cost, n, strict)], ``broken`` pairs ``left right`` that are one word."""
 
     def __init__(self, papers: list[str], common: frozenset[str], fixes: dict[str, list[tuple]], broken: set[str], decided: dict[str, str]):
         self.furniture, self.common, self.fixes, self.broken, self.decided = Furniture(papers), common, fixes, broken, decided
+        self.cores = Cores()
 
-    def choose(self, token: str, before: str, after: str) -> str:
+    def choose(self, token: str, before: str, after: str) -> str | None:
+        """What the token means here; None where only the words beside it could decide for a candidate and don't."""
         found = self.fixes[token]
-        if len(found) > 1:
+        if len(found) > 1 or any(found[0][3:]):
             meant = self.decided.get(f"{before}\t{token}\t{after}")
             if meant:
                 return meant
-        return max(found, key=lambda f: (-f[1], f[2], f[0]))[0]
+        return max((f for f in found if not any(f[3:])), key=lambda f: (-f[1], f[2], f[0]), default=(None,))[0]
 
     def is_broken(self, m: re.Match) -> bool:
         a, mark, _, b = m.groups()
@@ -269,30 +307,29 @@ class Repairer:
 
         if "-" in x or "¬" in x or "\xad" in x or "–" in x:
             x = BREAK.sub(join, x)
-        tokens = x.split()
-        odd = [t for t in set(tokens) if core(t) in self.fixes]
-        if not (furniture or breaks or odd):
+        both = [self.cores[t] for t in x.split()]
+        found = {}
+        for k, (c, e) in enumerate(both):
+            if e in self.fixes:
+                new = self.choose(e, both[k - 1][0] if k else "", both[k + 1][0] if k + 1 < len(both) else "")
+                if new:
+                    found[k] = c, new
+        if not (furniture or breaks or found):
             return (text, 0, 0, 0)
         if sum(e - b for b, e, ended in sentences(x) if is_prose(x[b:e], self.common, ended)) < 0.5 * len(x):
             return None
-        letters = 0
-        if odd:
-            parts = re.split(r"(\s+)", x)
-            words = [k for k in range(0, len(parts), 2) if parts[k]]
-            for at, k in enumerate(words):
-                c = core(parts[k])
-                if c in self.fixes:
-                    before = core(parts[words[at - 1]]) if at else ""
-                    after = core(parts[words[at + 1]]) if at + 1 < len(words) else ""
-                    new = self.choose(c, before, after)
-                    low = parts[k].lower()
-                    s = low.rfind(c)
-                    old = parts[k][s : s + len(c)]
-                    letter = next((y for y in old if y.isalpha()), "a")
-                    new = new.upper() if sum(map(str.isupper, old)) > 1 and not any(map(str.islower, old)) else new.capitalize() if letter.isupper() and old[0] in (letter, *SIGNS) else new
-                    parts[k] = parts[k][:s] + new + parts[k][s + len(c) :]
-                    letters += 1
-            x = "".join(parts)
+        parts = re.split(r"(\s+)", x) if found else [x]
+        words = [k for k in range(0, len(parts), 2) if parts[k]]
+        for at, (c, new) in found.items():
+            k = words[at]
+            low = parts[k].lower()
+            s = low.rfind(c)
+            old = parts[k][s : s + len(c)]
+            letter = next((y for y in old if y.isalpha()), "a")
+            new = new.upper() if sum(map(str.isupper, old)) > 1 and not any(map(str.islower, old)) else new.capitalize() if letter.isupper() and old[0] in (letter, *SIGNS) else new
+            parts[k] = parts[k][:s] + new + parts[k][s + len(c) :]
+        letters = len(found)
+        x = "".join(parts)
         return (self.paragraphs(x), breaks, letters, furniture)
 
     @staticmethod
@@ -327,7 +364,7 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
     papers = sorted(r[0] for r in docs.select(F.trim(F.col(f"`{paper}`")).alias("p")).distinct().dropna().collect())
     common = frozenset().union(*common_words(words).values())
     table = materialize(counts(docs, fields, papers), "scan_counts")
-    fixes = materialize(corrections(table).groupBy("token").agg(F.collect_list(F.struct("meant", "cost", "n")).alias("found")), "fixes")
+    fixes = materialize(corrections(table).groupBy("token").agg(F.collect_list(F.struct("meant", "cost", "n", "strict")).alias("found")), "fixes")
     broken = materialize(joins(table).distinct(), "broken")
     decided = materialize(decisions(docs, fields, fixes, papers, most), "decided")
     kind = docs.schema[key].dataType.simpleString()
@@ -377,8 +414,9 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
                     x, _ = furniture.strip(x)
                     found |= {f"{m[0].lower()} {m[3].lower()}" for m in BREAK.findall(x)}
                     t = ["", *map(core, x.split()), ""]
-                    found.update(t)
-                    found.update(map("\t".join, zip(t, t[1:], t[2:], strict=False)))
+                    e = list(map(entry, x.split(), t[1:-1]))
+                    found.update(e)
+                    found.update(map("\t".join, zip(t, e, t[2:], strict=False)))
                 got += [(h, t) for t in found]
             c = list(zip(*got, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string())], ["h", "token"])
@@ -392,7 +430,7 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
         for b in batches:
             out = []
             for k, *texts, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                r.fixes = {x["token"]: [(y["meant"], y["cost"], y["n"]) for y in x["found"]] for x in t or () if x["found"] is not None}
+                r.fixes = {x["token"]: [(y["meant"], y["cost"], y["n"], y["strict"]) for y in x["found"]] for x in t or () if x["found"] is not None}
                 r.broken = {x["token"] for x in t or () if x["found"] is None and x["meant"] is None}
                 r.decided = {x["token"]: x["meant"] for x in t or () if x["meant"] is not None}
                 out += judge(r, k, tuple(texts))

@@ -69,3 +69,13 @@ def test_empty_and_long(spark, common, prose):
     x = " ".join(prose) + " "
     df = spark.createDataFrame([("l", x * 20 + "Le con¬\nseil est là. " + x * 20, None), (None, "y" * 300_000, None)], "id string, content string, source string")
     assert [r.id for r in scans.find(df, common, ["content"]).collect()] == ["l"]
+
+
+def test_occurrences_are_judged_not_tokens(spark, common, prose):
+    rows = [(f"a{k}", f"{prose[0]} Entre nous, le journal est là. La commune est entre le budget et la piscine.", PAPER) for k in range(150)]
+    rows += [("cap", f"{prose[0]} Entrc nous, le tunnel est dans la salle.", PAPER), ("mixed", f"{prose[0]} Un joiirnal est dans la salle.", PAPER), ("first", f"{prose[0]} Joiirnal et tunnel dans la salle.", PAPER)]
+    # A name as frequent as that leaves the words beside the lower-case form to decide; the name itself stays.
+    rows += [(f"n{k}", f"{prose[0]} Le maître est Odile Piscme avec elle.", PAPER) for k in range(40)] + [("low", f"{prose[0]} Le budget de la piscme avec prudence.", PAPER)]
+    got = {r.id: r.repaired for r in scans.find(spark.createDataFrame(rows, "id string, content string, source string"), common, ["content"], restore=True).collect()}
+    assert set(got) == {"cap", "mixed", "first", "low"}
+    assert "Entre nous" in got["cap"] and "Un journal" in got["mixed"] and "Journal et" in got["first"] and "la piscine avec" in got["low"]
