@@ -41,7 +41,7 @@ ELISION = re.compile(r"^(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu|presqu|quelqu|aujou
 ODD = re.compile(rf"[^\W\d_][{SIGNS}]|[{SIGNS}][^\W\d_]|[^\W\d_]'[^\W\d_]")
 #: Marks the entry of a plain word's occurrences with capitals.
 CAPITAL = "\x02"
-PLAIN = re.compile(r"[^\W\d_]{4,}")
+PLAIN = re.compile(r"[^\W\d_]{2,}")
 #: A broken word; a page's number can have come between its pieces.
 BREAK = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,})(-|–|¬|\xad)([ \t]*\r?\n\s*|[ \t]+)(?:\d{1,4}[ \t]*\s)?([^\W\d_]{2,})")
 PAGE = re.compile(
@@ -59,7 +59,7 @@ def core(token: str) -> str:
 
 
 def is_word(c: str) -> bool:
-    return bool(PLAIN.fullmatch(c)) or "-" in c
+    return bool(PLAIN.fullmatch(c)) and (len(c) > 3 or not ODD.search(c)) or "-" in c
 
 
 def entry(token: str, c: str) -> str:
@@ -112,7 +112,7 @@ class Furniture:
 def deletes(word: str, most: int = 2) -> set[str]:
     n = len(word)
     out = {word}
-    for d in range(1, min(most, n - 2) + 1):
+    for d in range(1, min(most, n - 1) + 1):
         for gone in combinations(range(n), d):
             out.add("".join(c for k, c in enumerate(word) if k not in gone))
     return out
@@ -185,11 +185,12 @@ def corrections(table: DataFrame) -> DataFrame:
 
     Occurrences in lower case are judged by their own count, so that capitals elsewhere don't keep them; where the token
     with its capitals is too frequent for a slip (a name), the candidate is ``strict``: only the words beside it can decide
-    for it. Occurrences with capitals are judged by the whole count, as a word begins sentences in any form.
+    for it. Occurrences with capitals are judged by the whole count, as a word begins sentences in any form. Words under
+    five letters are like too many others: their candidates are 200 times as frequent, and strict.
     """
     words = table.filter("kind = 'w'").groupBy("a").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("b") == "", F.col("n")).otherwise(0)).alias("lower"))
     lexicon = words.filter("n >= 3 and length(a) <= 40 and instr(a, '-') = 0").select("a", "n")
-    plain = words.filter("length(a) between 5 and 40 and instr(a, '-') = 0").select("a", "n", "lower", F.lit(False).alias("odd"))
+    plain = words.filter("length(a) between 2 and 40 and instr(a, '-') = 0").select("a", "n", "lower", F.lit(False).alias("odd"))
     odd = table.filter("kind = 'o' and length(a) between 3 and 40").select("a", "n", F.col("n").alias("lower"), F.lit(True).alias("odd"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +209,11 @@ def corrections(table: DataFrame) -> DataFrame:
     right = lexicon.mapInArrow(entries, "key long, a string, n long").select("key", F.col("a").alias("meant"), F.col("n").alias("m"))
     left = plain.unionByName(odd).mapInArrow(entries, "key long, a string, n long, lower long, odd boolean")
     m, n, low = F.col("m"), F.col("n"), F.col("lower")
-    met = left.join(right, "key").filter((F.col("a") != F.col("meant")) & (F.col("odd") & (m >= n) | ~F.col("odd") & (m >= 10) & (m >= 20 * F.when(low > 0, low).otherwise(n)))).drop("key").distinct()
-    small = met.filter(F.col("odd") | (low > 0)).select("a", "meant", "m", F.col("a").alias("token"), (~F.col("odd") & (m < 20 * n)).alias("strict"))
-    capitals = met.filter(~F.col("odd") & (n > low) & (m >= 20 * n)).select("a", "meant", "m", F.concat("a", F.lit(CAPITAL)).alias("token"), F.lit(False).alias("strict"))
+    short = ~F.col("odd") & (F.length("a") < 5) | (F.length("meant") < 4)
+    ratio = F.when(short, 200).otherwise(20)
+    met = left.join(right, "key").filter((F.col("a") != F.col("meant")) & (F.col("odd") & ~short & (m >= n) | (~F.col("odd") | short) & (m >= 10) & (m >= ratio * F.when(low > 0, low).otherwise(n)))).drop("key").distinct()
+    small = met.filter(F.col("odd") | (low > 0)).select("a", "meant", "m", F.col("a").alias("token"), (short | ~F.col("odd") & (m < 20 * n)).alias("strict"))
+    capitals = met.filter(~F.col("odd") & (n > low) & (m >= ratio * n)).select("a", "meant", "m", F.concat("a", F.lit(CAPITAL)).alias("token"), short.alias("strict"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

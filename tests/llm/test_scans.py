@@ -79,3 +79,11 @@ def test_occurrences_are_judged_not_tokens(spark, common, prose):
     got = {r.id: r.repaired for r in scans.find(spark.createDataFrame(rows, "id string, content string, source string"), common, ["content"], restore=True).collect()}
     assert set(got) == {"cap", "mixed", "first", "low"}
     assert "Entre nous" in got["cap"] and "Un journal" in got["mixed"] and "Journal et" in got["first"] and "la piscine avec" in got["low"]
+
+
+def test_short_words_need_their_neighbours(spark, common, prose):
+    rows = [(f"a{k}", f"{prose[0]} Il va chez elle avec toi en juin.", PAPER) for k in range(440)]
+    rows += [("avcc", f"{prose[0]} Il va chez elle avcc toi en juin.", PAPER), ("jum", f"{prose[0]} Il va chez elle avec toi en jum.", PAPER), ("cap", f"{prose[0]} Il va Chcz elle avec toi en juin.", PAPER), ("cn", f"{prose[0]} Il va chez elle avec toi cn juin.", PAPER)]
+    rows += [("own", f"{prose[0]} Il achète jum pour la salle.", PAPER)]
+    got = {r.id: r.repaired for r in scans.find(spark.createDataFrame(rows, "id string, content string, source string"), common, ["content"], restore=True).collect()}
+    assert got == dict.fromkeys(["avcc", "jum", "cn"], rows[0][1]) | {"cap": rows[0][1].replace("chez", "Chez")}
