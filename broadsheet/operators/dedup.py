@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,26 +46,57 @@ def day_copies(df: DataFrame, text: str = "content") -> DataFrame:
     return k.join(k.groupBy("h", "d").agg(F.min("id").alias("rep")), ["h", "d"]).select("id", "rep")
 
 
+def common_subsequence(a: str, masks: dict[str, int], m: int) -> int:
+    """Length of the longest common subsequence of ``a`` and a text of ``m`` letters, whose places by letter are ``masks``."""
+    full = (1 << m) - 1
+    v = full
+    for c in a:
+        u = v & masks.get(c, 0)
+        v = (v + u | v - u) & full
+    return m - v.bit_count()
+
+
+def places(text: str) -> dict[str, int]:
+    """For each letter the places where the text has it, as bits."""
+    out: dict[str, bytearray] = {}
+    size = len(text) // 8 + 1
+    for k, c in enumerate(text):
+        if c not in out:
+            out[c] = bytearray(size)
+        out[c][k >> 3] |= 1 << (k & 7)
+    return {c: int.from_bytes(x, "little") for c, x in out.items()}
+
+
 def near_duplicates(df: DataFrame, text: str = "content", days: int = 3, ratio: float = 0.85) -> DataFrame:
     """Pairs ``id_a, id_b, ratio`` at most ``days`` apart whose normalised texts have a sequence ratio of at least ``ratio``.
 
-    Pairs are between representatives: articles with the same text on the same day are one (``day_copies``). Candidates
-    share one of the twelve least hashes of their runs of five words and a bucket of ``days`` days; the ratio can't exceed
-    2 * shorter / (shorter + longer), which prunes by length before it is computed.
+    Pairs are between representatives: articles with the same text on the same day are one (``day_copies``). All pairs
+    within the days are compared, each met once through buckets of ``days`` days. Two bounds that the ratio can't exceed
+    come first: 2 * shorter / (shorter + longer), and the same with the longest common subsequence as matches.
     """
     n = normalize_ws(F.col(text))
     base = df.select("id", "d", n.alias("t")).filter("t <> '' and d is not null")
     base = base.groupBy(F.md5("t").alias("h"), "d").agg(F.min("id").alias("id"), F.first("t").alias("t"))
-    words = F.filter(F.split("t", " "), lambda x: x != "")
-    runs = F.when(F.size("w") < 5, F.array(F.xxhash64("t"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, 5)))))
     width = max(1, days)
-    keyed = base.withColumn("w", words).select("id", "d", F.explode(F.slice(F.array_sort(runs), 1, 12)).alias("k"), F.floor(F.datediff("d", F.lit("1900-01-01").cast("date")) / width).alias("b"))
-    right = keyed.select(F.col("id").alias("j"), F.col("d").alias("dj"), "k", F.explode(F.array("b", F.col("b") - 1)).alias("b"))
-    cand = keyed.join(right, ["k", "b"]).filter((F.col("id") != F.col("j")) & (F.abs(F.datediff("d", "dj")) <= days)).select(F.least("id", "j").alias("id_a"), F.greatest("id", "j").alias("id_b")).distinct()
-    t = base.select("id", "t")
-    pairs = cand.join(t.select(F.col("id").alias("id_a"), F.col("t").alias("ta")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("t").alias("tb")), "id_b")
-    s, g = F.least(F.length("ta"), F.length("tb")), F.greatest(F.length("ta"), F.length("tb"))
-    pairs = pairs.filter(2 * s >= ratio * (s + g)).withColumn("ratio", seq_ratio("ta", "tb"))
+    keyed = base.select("id", "d", "t", F.floor(F.datediff("d", F.lit("1900-01-01").cast("date")) / width).alias("b"))
+    right = keyed.select(F.col("id").alias("j"), F.col("d").alias("dj"), F.col("t").alias("tj"), F.col("b").alias("bj"), F.explode(F.array("b", F.col("b") - 1)).alias("b"))
+    s, g = F.least(F.length("t"), F.length("tj")), F.greatest(F.length("t"), F.length("tj"))
+    once = (F.col("bj") > F.col("b")) & (F.col("id") != F.col("j")) | (F.col("id") < F.col("j"))
+    pairs = keyed.hint("merge").join(right, ["b"]).filter(once & (F.abs(F.datediff("d", "dj")) <= days) & (2 * s >= ratio * (s + g)))
+    first = F.col("id") < F.col("j")
+    pairs = pairs.select(F.least("id", "j").alias("id_a"), F.greatest("id", "j").alias("id_b"), F.when(first, F.col("t")).otherwise(F.col("tj")).alias("ta"), F.when(first, F.col("tj")).otherwise(F.col("t")).alias("tb"))
+    kind = pairs.schema["id_a"].dataType.simpleString()
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = lru_cache(64)(places)
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                least = ratio * (len(x) + len(y)) / 2 - 1e-6
+                keep.append(common_subsequence(x, masks(y), len(y)) >= least)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    pairs = pairs.mapInArrow(bound, f"id_a {kind}, id_b {kind}, ta string, tb string").withColumn("ratio", seq_ratio("ta", "tb"))
     return pairs.filter(F.col("ratio") >= ratio).select("id_a", "id_b", "ratio")
 
 

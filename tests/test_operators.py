@@ -164,3 +164,23 @@ def test_answers_are_keyed_by_number():
     with pytest.raises(OSError):
         labelling.ask_with_retries(ask, "x", 3, 0)
     assert len(calls) == 3
+
+
+def test_near_duplicates_without_a_common_run(spark):
+    long = [f"mot{k}" for k in range(60)]
+    edited = [w if k % 4 else "n" + w[1:] for k, w in enumerate(long)]
+    rows = [("a", "1990-01-01", "le conseil approuve le budget annuel de la piscine"), ("b", "1990-01-03", "le conseil approuve la budget annuel de la piscine"), ("c", "1990-01-02", " ".join(long)), ("d", "1990-01-04", " ".join(edited)), ("e", "1990-01-01", "un mot"), ("f", "1990-01-02", "un mut"), ("g", "1990-01-09", " ".join(long))]
+    df = spark.createDataFrame(rows, "id string, date string, content string").withColumn("d", dates.parse_date(F.col("date")))
+    near = sorted((r.id_a, r.id_b) for r in dedup.near_duplicates(df, ratio=0.8).collect())
+    assert near == [(x[0], y[0]) for x in rows for y in rows if x < y and abs(int(x[1][-2:]) - int(y[1][-2:])) <= 3 and difflib.SequenceMatcher(None, x[2], y[2]).ratio() >= 0.8]
+    assert {("a", "b"), ("e", "f")} <= set(near)
+    rng = random.Random(3)
+    for _ in range(50):
+        x, y = ("".join(rng.choice("abcd ") for _ in range(rng.randint(1, 70))) for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for c in x:
+            new = [0]
+            for k, e in enumerate(y):
+                new.append(row[k] + 1 if c == e else max(row[k + 1], new[k]))
+            row = new
+        assert dedup.common_subsequence(x, dedup.places(y), len(y)) == row[-1]
