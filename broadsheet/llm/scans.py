@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,12 +233,44 @@ def joins(table: DataFrame) -> DataFrame:
     return whole.join(words.select(F.col("a").alias("c"), F.col("n").alias("compound")), F.concat_ws("-", "left", "right") == F.col("c"), "left").filter("whole > coalesce(compound, 0)").select(F.concat_ws(" ", "left", "right").alias("token"))
 
 
-def decisions(docs: DataFrame, fields: list[str], fixes: DataFrame, papers: list[str], most: int) -> DataFrame:
+def with_breaks(texts: DataFrame, broken: DataFrame, papers: list[str], most: int) -> tuple[DataFrame, Broadcast | None]:
+    """The texts and the broken words for the tasks; over ``most`` of these, each row gets its own as ``broken`` by a join."""
+    if broken.count() <= most:
+        return texts, texts.sparkSession.sparkContext.broadcast({r[0] for r in broken.collect()})
+    cols = [c for c in texts.columns if re.fullmatch(r"f\d+", c)]
+    texts = texts.withColumn("h", F.xxhash64(*texts.columns)) if "h" not in texts.columns else texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        furniture = Furniture(papers)
+        for b in batches:
+            got = []
+            for h, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got += [(h, t) for t in {f"{m[0].lower()} {m[3].lower()}" for x in {x for x in row if x} for m in BREAK.findall(furniture.strip(x)[0])}]
+            c = list(zip(*got, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string())], ["h", "token"])
+
+    own = texts.select("h", *cols).mapInArrow(run, "h long, token string").join(broken, "token").groupBy("h").agg(F.collect_set("token").alias("broken"))
+    return texts.join(own, "h", "left").select(*texts.columns, "broken"), None
+
+
+def _broken_rows(b: pa.RecordBatch, r: Repairer, pieces: Broadcast | None) -> Iterator[str]:
+    """The different texts of each row; ``r`` knows the broken words of the row meanwhile."""
+    if pieces:
+        r.broken = pieces.value
+    cols = {n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)}
+    for k, row in enumerate(zip(*(c for n, c in cols.items() if re.fullmatch(r"f\d+", n)), strict=True)):
+        if not pieces:
+            r.broken = set(cols["broken"][k] or ())
+        yield from {x for x in row if x}
+
+
+def decisions(docs: DataFrame, fields: list[str], fixes: DataFrame, broken: DataFrame, papers: list[str], most: int) -> DataFrame:
     """``key, meant`` for every context of a token with several candidates; the key is the word before, the token, the word after.
 
     A candidate's score is what its misreading costs less what the corpus's bigrams with the words beside it are worth; one
     that is strict needs both. The words whose contexts (tokens) and bigrams (candidates) are counted are known to the
-    tasks up to ``most`` of them; beyond, all are counted and joined.
+    tasks up to ``most`` of them; beyond, all are counted and joined. Contexts are those of the texts after broken words
+    are joined, as the repair meets them.
     """
     several = materialize(fixes.filter((F.size("found") > 1) | F.exists("found", lambda x: x["strict"])), "several")
     options = several.select("token", F.inline("found"))
@@ -245,12 +278,12 @@ def decisions(docs: DataFrame, fields: list[str], fixes: DataFrame, papers: list
     known = docs.sparkSession.sparkContext.broadcast({k: frozenset(r[1] for r in got if r[0] == k) for got in [wanted.collect()] for k in "tl"}) if wanted.count() <= most else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        furniture, cores = Furniture(papers), Cores()
+        r, cores = Repairer(papers, frozenset(), {}, set(), {}), Cores()
         tokens, meant = (known.value["t"], known.value["l"]) if known else (None, None)
         for b in batches:
             seen: Counter = Counter()
-            for x in _rows(b):
-                x, _ = furniture.strip(x)
+            for x in _broken_rows(b, r, pieces):
+                x, _, _ = r.whole(x)
                 both = [cores[t] for t in x.split()]
                 t = ["", *(c for c, _ in both), ""]
                 for k, (c, e) in enumerate(both, 1):
@@ -262,7 +295,8 @@ def decisions(docs: DataFrame, fields: list[str], fixes: DataFrame, papers: list
             c = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in c[:4]), pa.array(c[4], pa.int64())], ["kind", "before", "w", "after", "n"])
 
-    seen = _texts(docs, fields).mapInArrow(run, "kind string, before string, w string, after string, n long")
+    texts, pieces = with_breaks(_texts(docs, fields), broken, papers, most)
+    seen = texts.mapInArrow(run, "kind string, before string, w string, after string, n long")
     seen = seen if known else seen.join(wanted, ["kind", "w"], "left_semi")
     seen = materialize(seen.groupBy("kind", "before", "w", "after").agg(F.sum("n").alias("n")), "contexts")
     left = seen.filter("kind = 'l'").select("before", F.col("w").alias("meant"), F.col("n").alias("n_before"))
@@ -296,8 +330,8 @@ class Repairer:
             return a[1:].islower() or a.isupper()
         return b[0].islower() == (not a.isupper()) and f"{a.lower()} {b.lower()}" in self.broken
 
-    def repair(self, text: str) -> tuple[str, int, int, int] | None:
-        """``(text, broken words, misread words, pieces of furniture)``; None for what is no prose."""
+    def whole(self, text: str) -> tuple[str, int, int]:
+        """The text without furniture and with its broken words joined; pieces of furniture, broken words."""
         x, furniture = self.furniture.strip(text)
         breaks = 0
 
@@ -310,6 +344,11 @@ class Repairer:
 
         if "-" in x or "¬" in x or "\xad" in x or "–" in x:
             x = BREAK.sub(join, x)
+        return x, furniture, breaks
+
+    def repair(self, text: str) -> tuple[str, int, int, int] | None:
+        """``(text, broken words, misread words, pieces of furniture)``; None for what is no prose."""
+        x, furniture, breaks = self.whole(text)
         both = [self.cores[t] for t in x.split()]
         found = {}
         for k, (c, e) in enumerate(both):
@@ -369,7 +408,7 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
     table = materialize(counts(docs, fields, papers), "scan_counts")
     fixes = materialize(corrections(table).groupBy("token").agg(F.collect_list(F.struct("meant", "cost", "n", "strict")).alias("found")), "fixes")
     broken = materialize(joins(table).distinct(), "broken")
-    decided = materialize(decisions(docs, fields, fixes, papers, most), "decided")
+    decided = materialize(decisions(docs, fields, fixes, broken, papers, most), "decided")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, field string" + (", repaired string, n_broken int, n_misread int, n_furniture int" if restore else "")
     names = [x.split()[0] for x in schema.split(", ")]
@@ -407,17 +446,24 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
     rows = rows.withColumn("h", F.xxhash64("key", *(f"f{k}" for k in range(len(fields)))))
     cols = [f"f{k}" for k in range(len(fields))]
 
+    rows, pieces = with_breaks(rows, broken, papers, most)
+    extra = [] if pieces else ["broken"]
+
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        furniture = Furniture(papers)
+        r, cores = Repairer(papers, frozenset(), {}, set(), {}), Cores()
+        if pieces:
+            r.broken = pieces.value
         for b in batches:
             got = []
-            for h, *texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own = [()] * b.num_rows if pieces else b.column("broken").to_pylist()
+            for h, parts, *texts in zip(b.column("h").to_pylist(), own, *(b.column(c).to_pylist() for c in cols), strict=True):
+                if not pieces:
+                    r.broken = set(parts or ())
                 found = set()
                 for x in {x for x in texts if x}:
-                    x, _ = furniture.strip(x)
-                    found |= {f"{m[0].lower()} {m[3].lower()}" for m in BREAK.findall(x)}
-                    t = ["", *map(core, x.split()), ""]
-                    e = list(map(entry, x.split(), t[1:-1]))
+                    # Tokens and contexts as the repair meets them, after broken words are joined.
+                    both = [cores[t] for t in r.whole(x)[0].split()]
+                    t, e = ["", *(c for c, _ in both), ""], [e for _, e in both]
                     found.update(e)
                     found.update(map("\t".join, zip(t, e, t[2:], strict=False)))
                 got += [(h, t) for t in found]
@@ -425,18 +471,19 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string())], ["h", "token"])
 
     none = F.lit(None).cast(fixes.schema["found"].dataType).alias("found")
-    both = fixes.select("token", "found", F.lit(None).cast("string").alias("meant")).unionByName(broken.select("token", none, F.lit(None).cast("string").alias("meant"))).unionByName(decided.select(F.col("key").alias("token"), none, "meant"))
-    parts = rows.select("h", *cols).mapInArrow(tokens, "h long, token string").join(both, "token").groupBy("h").agg(F.collect_list(F.struct("token", "found", "meant")).alias("t"))
+    both = fixes.select("token", "found", F.lit(None).cast("string").alias("meant")).unionByName(decided.select(F.col("key").alias("token"), none, "meant"))
+    parts = rows.select("h", *cols, *extra).mapInArrow(tokens, "h long, token string").join(both, "token").groupBy("h").agg(F.collect_list(F.struct("token", "found", "meant")).alias("t"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Repairer(papers, common, {}, set(), {})
         for b in batches:
             out = []
-            for k, *texts, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own = [()] * b.num_rows if pieces else b.column("broken").to_pylist()
+            for k, t, parts, *texts in zip(b.column("key").to_pylist(), b.column("t").to_pylist(), own, *(b.column(c).to_pylist() for c in cols), strict=True):
                 r.fixes = {x["token"]: [(y["meant"], y["cost"], y["n"], y["strict"]) for y in x["found"]] for x in t or () if x["found"] is not None}
-                r.broken = {x["token"] for x in t or () if x["found"] is None and x["meant"] is None}
+                r.broken = pieces.value if pieces else set(parts or ())
                 r.decided = {x["token"]: x["meant"] for x in t or () if x["meant"] is not None}
                 out += judge(r, k, tuple(texts))
             yield emit(out, b.schema.field(0).type)
 
-    return rows.join(parts, "h", "left").select("key", *cols, "t").mapInArrow(run_joined, schema).distinct().withColumnRenamed("key", key)
+    return rows.join(parts, "h", "left").select("key", *cols, "t", *extra).mapInArrow(run_joined, schema).distinct().withColumnRenamed("key", key)

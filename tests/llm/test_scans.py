@@ -87,3 +87,11 @@ def test_short_words_need_their_neighbours(spark, common, prose):
     rows += [("own", f"{prose[0]} Il achète jum pour la salle.", PAPER)]
     got = {r.id: r.repaired for r in scans.find(spark.createDataFrame(rows, "id string, content string, source string"), common, ["content"], restore=True).collect()}
     assert got == dict.fromkeys(["avcc", "jum", "cn"], rows[0][1]) | {"cap": rows[0][1].replace("chez", "Chez")}
+
+
+def test_broken_and_misread_words_in_both_ways(spark, common, prose):
+    rows = [(f"a{k}", f"{prose[0]} Le gouvernement approuve la lecture avec nous.", PAPER) for k in range(120)] + [(f"g{k}", f"{prose[0]} Le gouvemement est là.", PAPER) for k in range(3)]
+    rows += [("x", f"{prose[0]} Le gouve-\nmement approuve la lccture avec nous.", PAPER), ("y", f"{prose[0]} Le gouver-\nnement approuve la lccture avcc nous.", PAPER)]
+    df = spark.createDataFrame(rows, "id string, content string, source string")
+    got, joined = ({r.id: (r.repaired, r.n_broken, r.n_misread) for r in scans.find(df, common, ["content"], restore=True, **m).collect()} for m in ({}, {"most": 0}))
+    assert got == joined and "Le gouvernement approuve la lecture" in got["x"][0] and got["x"][1:] == (1, 2) and "Le gouvernement approuve la lecture" in got["y"][0]
