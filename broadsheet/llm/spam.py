@@ -1,12 +1,17 @@
 """Keyword-stuffed pages, link lists and product tags (problem 8).
 
-Method: every document is read in blocks, runs of sentences or of what is none. A block's words (addresses and tags stand
-as such, function words and figures are left out) are compressed; the ratio is compared with that of prose blocks of like
-length and language all over the corpus. Extreme redundancy flags a block; few sentence ends, function words and figures
-confirm it, or, among sentences, one keyword that takes too many of the words. A document is spam when more than half of
-its characters lie in such blocks.
-
-Prose is flagged by its keyword instead of by the ratio alone, since sentences made to carry a keyword end like any other.
+Method: every document is read in blocks, runs of sentences or of what is none. What a block says (its words without
+function words; addresses and tags stand as one sign each) is compressed by an adaptive word model: a new word costs its
+spelling, a word seen before what its share so far makes it cost. This is the length that an ideal coder with a growing
+dictionary reaches, without the headers that make real ones useless on short blocks. The ratio is compared with that of
+prose blocks of the same language and length: a line is fitted, by language, to the logarithms of ratio and length over
+all prose blocks of the corpus, robustly, so that spam among them doesn't move it. A block that lies more than ``far``
+deviations above its line is extremely redundant; no block counts without that. Few sentence ends, function words and
+figures confirm it, or, whatever its form, one keyword that takes too many of its words. A document is spam when more than
+half of its characters lie in such blocks.
+
+A sentence that returns word for word counts once, so refrains aren't redundant. The lines are fitted to shares of the
+corpus alone: a table repeated ten times gives the same verdicts.
 
 Defined results: null, empty and blank texts and texts without words are no spam; every row is judged on its own, so exact
 copies fare alike; texts are read whole; other columns are ignored; an empty table gives no rows.
@@ -15,10 +20,11 @@ copies fare alike; texts are read whole; other columns are ignored; an empty tab
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import lgamma, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,56 +40,71 @@ TOKEN = re.compile(r"[^\W\d_]{2,}|\d+")
 DOTTED = re.compile(r"//|\.[\w-]")
 #: Characters of a block: long enough to compress, short enough to find spam beside prose.
 BLOCK = 1200
-SCHEMA = "lang string, prose boolean, chars int, bytes int, ratio double, ends double, common double, figures double, links double, words int, key_block double, key_doc double, doc_words int"
-
-
-def blocks(text: str, common: frozenset[str]) -> list[tuple[str, bool]]:
-    """The text in order, as ``(block, made of sentences)``."""
-    out: list[tuple[str, bool]] = []
-    start, kind = 0, None
-    end = 0
+#: What a new word costs (bits of its spelling), and how ready the model is for new words.
+SPELLING, FRESH = 40.0, 8.0
+#: Share of all prose blocks that every language's line takes in besides its own.
+POOLED = 0.002
+#: One keyword takes too many of a block's words.
+KEYWORD = "keyword >= 0.10 + 2.5 / greatest(units, 1)"
+SCHEMA = "lang string, prose boolean, chars int, units int, ratio double, ends double, common double, figures double, links double, keyword double"
+
+
+def compression(counts: Counter) -> float:
+    """Bits of the words' spellings over bits under the adaptive word model; the order of the words plays no part."""
+    n = sum(counts.values())
+    if not n:
+        return 1.0
+    again = lgamma(FRESH + n) - lgamma(FRESH) - len(counts) * log(FRESH) - sum(lgamma(c) for c in counts.values() if c > 2)
+    return SPELLING * n / (SPELLING * len(counts) + again / log(2))
+
+
+def blocks(text: str, common: frozenset[str]) -> list[tuple[int, int, bool]]:
+    """``(start, end, made of sentences)`` of the text's blocks in order."""
+    out: list[tuple[int, int, bool]] = []
+    start, kind, end = 0, None, 0
     for b, e, ended in sentences(text):
         prose = is_prose(text[b:e], common, ended)
         if kind is not None and (prose != kind or e - start > BLOCK):
-            out.append((text[start:end], kind))
+            out.append((start, end, kind))
             start = end
         kind, end = prose, e
         while not prose and end - start > 2 * BLOCK:
             cut = max(text.rfind("\n", start, start + BLOCK), text.rfind(" ", start, start + BLOCK))
             cut = cut if cut > start else start + BLOCK
-            out.append((text[start:cut], False))
+            out.append((start, cut, False))
             start = cut
     if kind is not None and end > start:
-        out.append((text[start:end], kind))
+        out.append((start, end, kind))
     return out
 
 
 def measure(text: str, common: frozenset[str], langs: dict[str, frozenset[str]]) -> list[tuple]:
-    """A row of figures for each block with words."""
-    parts, total = [], Counter()
-    for block, prose in blocks(text, common):
-        rest, n_address = ADDRESS.subn(" ", block) if DOTTED.search(block) else (block, 0)
+    """A row of figures for each block."""
+    out, seen = [], set()
+    for start, end, prose in blocks(text, common):
+        body = block = text[start:end]
+        if prose:
+            fresh = []
+            for b, e, _ in sentences(block):
+                s = block[b:e].strip()
+                if s not in seen:
+                    seen.add(s)
+                    fresh.append(s)
+            body = " ".join(fresh)
+        rest, n_address = ADDRESS.subn(" ", body) if DOTTED.search(body) else (body, 0)
         rest, n_tag = TAG.subn(" ", rest) if "#" in rest or "+" in rest or "@" in rest else (rest, 0)
         tokens = TOKEN.findall(rest.lower())
         words = [w for w in tokens if not w[0].isdecimal()]
-        content = [w for w in words if w not in common]
-        total.update(content)
-        parts.append((block, prose, n_address, n_tag, len(tokens) - len(words), words, content))
-    n_doc = sum(total.values())
-    keyword, n_key = total.most_common(1)[0] if total else ("", 0)
-    out = []
-    for block, prose, n_address, n_tag, n_figures, words, content in parts:
-        units = len(words) + n_address + n_tag
-        if not units:
-            out.append(("", prose, len(block), 0, 1.0, 0.0, 0.0, 9.0, 0.0, 0, 0.0, 0.0, n_doc))
-            continue
-        raw = (" ".join(content) + " address" * n_address + " tag" * n_tag).encode()
+        counts = Counter(w for w in words if w not in common)
+        n = sum(counts.values())
+        keyword = max(counts.values(), default=0) / max(1, n)
+        units = max(1, len(words) + n_address + n_tag)
+        if not prose:  # beside sentences an address is a reference
+            counts.update({k: v for k, v in (("//", n_address), ("#", n_tag)) if v > 1})
         by = {k: sum(map(v.__contains__, words)) for k, v in langs.items()}
+        lang = max(sorted(by), key=by.get) if by else ""
         ends = block.count(". ") + block.count("! ") + block.count("? ") + (block.rstrip()[-1:] in ".!?»”")
-        out.append((
-            max(sorted(by), key=by.get) if by else "", prose, len(block), len(raw), len(raw) / len(zlib.compress(raw, 6)), ends / units, 1 - len(content) / max(1, len(words)), n_figures / units,
-            (n_address + n_tag) / units if n_address + n_tag > 1 else 0.0, len(content), content.count(keyword) / max(1, len(content)), n_key / max(1, n_doc), n_doc,
-        ))
+        out.append((lang if by and by[lang] else "", prose, end - start, sum(counts.values()), compression(counts), ends / units, (len(words) - n) / units, (len(tokens) - len(words)) / units, (n_address + n_tag) / units, keyword))
     return out
 
 
@@ -92,7 +113,7 @@ def block_figures(docs: DataFrame, words: DataFrame, key: str = "doc_id", text:
     common = frozenset().union(*langs.values()) if langs else frozenset()
     kind = docs.schema[key].dataType.simpleString()
     names = ["key", "row", *(x.split()[0] for x in SCHEMA.split(", "))]
-    types = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.int32(), pa.float64(), pa.float64(), pa.int32()]
+    types = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), *[pa.float64()] * 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,19 +129,53 @@ def block_figures(docs: DataFrame, words: DataFrame, key: str = "doc_id", text:
     return docs.select(F.col(f"`{key}`").alias("key"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text")).filter("trim(text) <> ''").mapInArrow(run, f"key {kind}, row long, {SCHEMA}")
 
 
-def judge(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", far: float = 2.0) -> DataFrame:
+def _median(x: np.ndarray, w: np.ndarray) -> float:
+    order = np.argsort(x, kind="stable")
+    c = np.cumsum(w[order])
+    return float(x[order][np.searchsorted(c, c[-1] / 2)])
+
+
+def line(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, float]:
+    """Slope, height and spread of ``y`` over ``x`` with weights ``w``: through the medians at each length first, then by what lies near."""
+    at, of = np.unique(np.round(x * 2), return_inverse=True)
+    mid = np.array([_median(y[of == k], w[of == k]) for k in range(len(at))])
+    heavy = np.array([w[of == k].sum() for k in range(len(at))])
+    slope, height = np.polyfit(at / 2, mid, 1, w=np.sqrt(heavy)) if len(at) > 1 else (0.0, float(mid[0]))
+    spread = 0.0
+    for _ in range(4):
+        off = y - slope * x - height
+        m = _median(off, w)
+        spread = max(0.05, 1.4826 * _median(np.abs(off - m), w))
+        near = np.abs(off - m) <= 3 * spread
+        if len(np.unique(x[near])) < 2:
+            return float(slope), float(height + m), spread
+        slope, height = np.polyfit(x[near], y[near], 1, w=np.sqrt(w[near]))
+    return float(slope), float(height), spread
+
+
+def usual(figures: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """The line of each language's prose blocks, ``""`` for all together.
+
+    Blocks with one keyword throughout don't enter: where spam has a length of its own it would be measured against itself.
+    From a table of how many blocks have which language, length and ratio (in hundredths of its logarithm): its size is
+    bounded by the length of a block, some thousands of rows whatever the corpus.
+    """
+    got = figures.filter(f"prose and units >= 8 and not ({KEYWORD})").groupBy("lang", F.log2("units").alias("x"), F.expr("round(log2(ratio), 2)").alias("y")).count().toPandas()
+    if not len(got):
+        return {"": (0.0, 0.0, 0.08)}
+    x, y, n = (got[c].to_numpy(float) for c in ("x", "y", "count"))
+    return {k: line(x, y, n * (POOLED if k else 1.0) + np.where(got["lang"] == k, n, 0.0)) for k in sorted({"", *got["lang"]})}
+
+
+def judge(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", far: float = 3.0) -> DataFrame:
     """``key``, ``spam_share`` of the characters, ``redundancy`` of the worst block (in deviations) and ``is_spam``, for every non-blank text."""
-    figures = materialize(block_figures(docs, words, key, text), "blocks")
-    b = figures.withColumn("bucket", F.floor(F.log2(F.greatest(F.lit(16), "bytes"))))
-    usual = b.filter("prose and words >= 5").groupBy("lang", "bucket").agg(F.percentile_approx("ratio", F.array(F.lit(0.5), F.lit(0.9)), 1000).alias("q"), F.count("*").alias("n")).filter("n >= 20")
-    # A row for each language and power of two: some dozens. What has no such row (a rare length) is held against all prose.
-    base = b.filter("prose and words >= 5").agg(F.percentile_approx("ratio", F.array(F.lit(0.5), F.lit(0.9)), 1000).alias("q0")).first()["q0"]
-    b = b.join(F.broadcast(usual.select("lang", "bucket", "q")), ["lang", "bucket"], "left")
-    q = F.coalesce("q", F.array(*(F.lit(float(x)) for x in base or (1.3, 1.5))))
-    spread = F.greatest(F.lit(0.04), (q[1] - q[0]) / 1.28)
-    b = b.withColumn("redundancy", (F.col("ratio") - q[0]) / spread)
-    listed = F.expr("links >= 0.15 and figures < 1") | ((F.col("redundancy") > far) & F.expr("words >= 6 and ends < 0.4 and common < 0.22 and figures < 0.3"))
-    stuffed = F.expr("figures < 0.12 and key_doc >= 0.07 + 3.0 / greatest(doc_words, 1) and key_block >= 0.10 + 2.5 / greatest(words, 1)")
-    bad = (~F.col("prose") & listed) | stuffed
+    b = materialize(block_figures(docs, words, key, text), "blocks")
+    lines = usual(b)
+    of = F.create_map(*(v for k, p in lines.items() for v in (F.lit(k), F.array(*map(F.lit, p)))))
+    p = F.coalesce(F.element_at(of, F.col("lang")), F.array(*map(F.lit, lines[""])))
+    b = b.withColumn("redundancy", (F.log2("ratio") - p[0] * F.log2(F.greatest(F.lit(8), "units")) - p[1]) / p[2])
+    listed = F.expr("not prose and ends < 0.4 and common < 0.25 and figures < 0.4")
+    stuffed = F.expr(f"figures < 0.12 and {KEYWORD}")
+    bad = (F.col("redundancy") > far) & (F.col("units") >= 6) & (listed | stuffed)
     out = b.groupBy("row").agg(F.first("key").alias(key), (F.sum(F.when(bad, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("spam_share"), F.max("redundancy").alias("redundancy"))
     return out.select(key, "spam_share", "redundancy", (F.col("spam_share") > 0.5).alias("is_spam"))

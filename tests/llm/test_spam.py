@@ -31,3 +31,32 @@ def test_empty_and_long(spark, common):
     assert spam.judge(spark.createDataFrame([], "doc_id long, text string"), common).count() == 0
     df = spark.createDataFrame([(1, SPAM["repeat"] * 300), (2, "x" * 400_000), (None, "Le chat est là.")], "doc_id long, text string")
     assert {r.doc_id: r.is_spam for r in spam.judge(df, common).collect()} == {1: True, 2: False, None: False}
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_table(spark, common, prose):
+    few = docs(spark, prose)
+    many = few.selectExpr("explode(sequence(0, 9)) as copy", "*").selectExpr("doc_id + 10000 * copy as doc_id", "text")
+    one = {r.doc_id: (r.is_spam, round(r.redundancy, 9)) for r in spam.judge(few, common).collect()}
+    ten = spam.judge(many, common).collect()
+    assert len(ten) == 10 * len(one)
+    assert all((r.is_spam, round(r.redundancy, 9)) == one[r.doc_id % 10000] for r in ten)
+
+
+def test_no_verdict_without_redundancy(spark, common, prose):
+    assert all(r.redundancy > 3 for r in spam.judge(docs(spark, prose), common).filter("is_spam").collect())
+
+
+def test_spam_among_prose_does_not_move_the_line(spark, common, prose):
+    stuffed = [" ".join(f"{s} voyance" if k % 2 else s.replace(" ", " voyance ", 3) for k, s in enumerate(prose[at : at + 8])) for at in range(12, 92)]
+    rows = [(k, " ".join(prose[12 + k : 20 + k])) for k in range(230)] + [(5000 + k, x) for k, x in enumerate(stuffed)]
+    got = {r.doc_id: r.is_spam for r in spam.judge(spark.createDataFrame(rows, "doc_id long, text string"), common).collect()}
+    assert sum(v for k, v in got.items() if k >= 5000) >= 0.95 * len(stuffed) and not any(v for k, v in got.items() if k < 5000)
+
+
+def test_keywords_of_several_words_and_captions(spark, common, prose):
+    phrase = "Achetez votre cours de langue ici, car notre cours de langue est un cours de langue. Qui dit cours de langue dit cours de langue. " * 6
+    captions = "\n".join("Accueil|Partenaires|Annuaire Valdorne|Page 4|Liens montre|Cliquez ici|Accueil|Top 9|Annuaire Fenalpe|Partenaires|Accueil|Liens taxi|Page 12|Cliquez ici".split("|") * 2)
+    refrain = "Le soir tombe sur la vallée et la cloche du village sonne encore. " + " ".join(prose[30:34])
+    rows = [(k, " ".join(prose[12 + k : 20 + k])) for k in range(230)] + [(1000, phrase), (1001, captions), (1002, refrain * 5)]
+    got = {r.doc_id for r in spam.judge(spark.createDataFrame(rows, "doc_id long, text string"), common).filter("is_spam").collect()}
+    assert got == {1000, 1001}
