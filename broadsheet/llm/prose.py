@@ -26,12 +26,14 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
 
 def is_prose(stretch: str, common: frozenset[str], ended: bool = True, least: float = 0.17) -> bool:
     """Whether a stretch reads as a sentence: ended, of usual length, with function words, few digits and symbols."""
-    words = WORD.findall(stretch)
+    if not ended:
+        return False
+    words = WORD.findall(stretch.lower())
     n = len(words)
-    if not ended or not 3 <= n <= 90:
+    if not 3 <= n <= 90:
         return False
     letters = sum(map(len, words))
     solid = len("".join(stretch.split()))
     if letters < 0.6 * solid:
         return False
-    return sum(w in common for w in map(str.lower, words)) >= least * n
+    return sum(map(common.__contains__, words)) >= least * n

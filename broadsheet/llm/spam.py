@@ -58,53 +58,49 @@ def compression(counts: Counter) -> float:
     return SPELLING * n / (SPELLING * len(counts) + again / log(2))
 
 
-def blocks(text: str, common: frozenset[str]) -> list[tuple[int, int, bool]]:
-    """``(start, end, made of sentences)`` of the text's blocks in order."""
-    out: list[tuple[int, int, bool]] = []
-    start, kind, end = 0, None, 0
+def blocks(text: str, common: frozenset[str]) -> list[tuple[int, int, bool, list[str]]]:
+    """``(start, end, made of sentences, its sentences)`` of the text's blocks in order."""
+    out: list[tuple[int, int, bool, list[str]]] = []
+    start, kind, end, held = 0, None, 0, []
     for b, e, ended in sentences(text):
-        prose = is_prose(text[b:e], common, ended)
+        s = text[b:e]
+        prose = is_prose(s, common, ended)
         if kind is not None and (prose != kind or e - start > BLOCK):
-            out.append((start, end, kind))
-            start = end
+            out.append((start, end, kind, held))
+            start, held = end, []
         kind, end = prose, e
+        held.append(s.strip())
         while not prose and end - start > 2 * BLOCK:
             cut = max(text.rfind("\n", start, start + BLOCK), text.rfind(" ", start, start + BLOCK))
             cut = cut if cut > start else start + BLOCK
-            out.append((start, cut, False))
+            out.append((start, cut, False, []))
             start = cut
     if kind is not None and end > start:
-        out.append((start, end, kind))
+        out.append((start, end, kind, held))
     return out
 
 
 def measure(text: str, common: frozenset[str], langs: dict[str, frozenset[str]]) -> list[tuple]:
     """A row of figures for each block."""
     out, seen = [], set()
-    for start, end, prose in blocks(text, common):
+    for start, end, prose, held in blocks(text, common):
         body = block = text[start:end]
         if prose:
-            fresh = []
-            for b, e, _ in sentences(block):
-                s = block[b:e].strip()
-                if s not in seen:
-                    seen.add(s)
-                    fresh.append(s)
-            body = " ".join(fresh)
+            body = " ".join(s for s in dict.fromkeys(held) if s not in seen)
+            seen.update(held)
         rest, n_address = ADDRESS.subn(" ", body) if DOTTED.search(body) else (body, 0)
         rest, n_tag = TAG.subn(" ", rest) if "#" in rest or "+" in rest or "@" in rest else (rest, 0)
-        tokens = TOKEN.findall(rest.lower())
-        words = [w for w in tokens if not w[0].isdecimal()]
-        counts = Counter(w for w in words if w not in common)
-        n = sum(counts.values())
+        counts = Counter(TOKEN.findall(rest.lower()))
+        n_figures = sum(counts.pop(w) for w in [w for w in counts if w[0].isdecimal()])
+        usual_words = {w: counts.pop(w) for w in common.intersection(counts)}
+        n, n_common = sum(counts.values()), sum(usual_words.values())
         keyword = max(counts.values(), default=0) / max(1, n)
-        units = max(1, len(words) + n_address + n_tag)
+        units = max(1, n + n_common + n_address + n_tag)
         if not prose:  # beside sentences an address is a reference
             counts.update({k: v for k, v in (("//", n_address), ("#", n_tag)) if v > 1})
-        by = {k: sum(map(v.__contains__, words)) for k, v in langs.items()}
-        lang = max(sorted(by), key=by.get) if by else ""
+        by = {k: sum(c for w, c in usual_words.items() if w in v) for k, v in langs.items()} if usual_words else {}
         ends = block.count(". ") + block.count("! ") + block.count("? ") + (block.rstrip()[-1:] in ".!?»”")
-        out.append((lang if by and by[lang] else "", prose, end - start, sum(counts.values()), compression(counts), ends / units, (len(words) - n) / units, (len(tokens) - len(words)) / units, (n_address + n_tag) / units, keyword))
+        out.append((max(sorted(by), key=by.get) if by else "", prose, end - start, sum(counts.values()), compression(counts), ends / units, n_common / units, n_figures / units, (n_address + n_tag) / units, keyword))
     return out
 
 
