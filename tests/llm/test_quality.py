@@ -41,3 +41,23 @@ def test_empty_and_long(spark, common):
     one = spark.createDataFrame([("long", "Le conseil est dans la ville. " * 40_000), ("run", "x" * 500_000)], "id string, content string")
     assert {r.id: r.verdict for r in quality.assess(one, common).collect()} == {"long": "prose", "run": "not prose"}
     assert quality.assess(one, spark.createDataFrame([], "lang string, word string")).count() == 2
+
+
+def test_the_distance_alone_decides(spark, common, prose):
+    out = quality.assess(articles(spark, prose), common).collect()
+    assert {r.id for r in out if r.distance > quality.LIMIT} == {r.id for r in out if r.verdict == "not prose"}
+
+
+def test_a_third_of_lists_and_a_copied_list_do_not_move_the_model(spark, common, prose):
+    rows = [(f"p{k}", " ".join(prose[k : k + 5])) for k in range(200)]
+    rows += [(f"x{k}", f"{LISTS[0]}\nle {k} la") for k in range(60)] + [(f"y{k}", "Total le 12 la 3 une 44 est\n" * 9) for k in range(40)]
+    got = {r.id: r.verdict for r in quality.assess(spark.createDataFrame(rows, "id string, content string"), common).collect()}
+    assert {k for k, v in got.items() if v == "not prose"} == {k for k in got if k[0] in "xy"}
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_table(spark, common, prose):
+    few = articles(spark, prose).filter("id is not null")
+    many = few.selectExpr("explode(sequence(0, 9)) as copy", "*").selectExpr("concat(copy, id) as id", "content")
+    one = {r.id: r.verdict for r in quality.assess(few, common).collect()}
+    ten = quality.assess(many, common).collect()
+    assert len(ten) == 10 * sum(1 for _ in quality.assess(few, common).collect()) and all(r.verdict == one[r.id[1:]] for r in ten)
