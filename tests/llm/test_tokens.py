@@ -53,3 +53,24 @@ def test_rows(spark, enc):
 
 def test_empty_table(spark):
     assert tokens.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("chunk,overlap", [(60, 12), (200, 50)])
+def test_chunks_meet_or_become_one(spark, enc, chunk, overlap):
+    rng = random.Random(chunk)
+    texts = ["".join(rng.choice("abc é1’ \n") for _ in range(1500)) for _ in range(6)] + ["a" * 900, " " * 500 + "x", "ab " * 300, "1" * 450 + "'re" * 100, "le conseil " * 60 + "x" * 700 + " puis la ville" * 60 + "9" * 333 + " fin", "\n" * 301, "🙂" * 400 + "mot " * 90]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in tokens.encode(df, chunk_chars=chunk, overlap=overlap).collect()}
+    assert all(got[k] == enc.enc.encode_ordinary(t) for k, t in enumerate(texts)) and len(got) == len(texts)
+    sizes = {r.doc_id: r.n_tokens for r in tokens.encode(df, chunk_chars=chunk, overlap=overlap, counts=True).collect()}
+    assert sizes == {k: len(v) for k, v in got.items()}
+
+
+def test_one_long_text_is_spread_over_tasks(spark, enc):
+    text = "Le conseil de la ville approuve le budget, dit-on. " * 12_000
+    df = spark.createDataFrame([(1, text)], "row long, text string").selectExpr("row", "row as key", "text")
+    chunks = tokens._chunks(df, 16_384, 256, 8)
+    filled = [r for r in chunks.selectExpr("spark_partition_id() as p").groupBy("p").count().collect()]
+    assert len(filled) == 8 and max(r["count"] for r in filled) < 0.5 * chunks.count()
+    got = tokens.encode(df, key="key").first().ids
+    assert got == enc.enc.encode_ordinary(text)
