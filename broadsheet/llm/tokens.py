@@ -292,116 +292,6 @@ def encode(
     return out.unionByName(_long(long, shared, chunk_chars, overlap, counts)).withColumnRenamed("key", key)
 
 
-def decode(self, ids) -> str:
-        return self.enc.decode(list(ids))
-
-
-def _ranges(chars: list[str]) -> str:
-    out, codes = [], [ord(c) for c in chars]
-    k = 0
-    while k < len(codes):
-        j = k
-        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
-            j += 1
-        out.append(f"\\U{codes[k]:08x}-\\U{codes[j]:08x}")
-        k = j + 1
-    return "".join(out)
-
-
-def vocabulary(tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> bytes:
-    with open(f"{tokenizers}/{name}.tiktoken", "rb") as f:
-        return f.read()
-
-
-@lru_cache(maxsize=4)
-def encoder_of(data: bytes) -> Encoder:
-    """One encoder for each vocabulary and worker."""
-    return Encoder(data)
-
-
-def encoder(tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Encoder:
-    return encoder_of(vocabulary(tokenizers, name))
-
-
-def _ids_column(blobs: list[bytes]) -> pa.Array:
-    ends, n = array("i", [0]), 0
-    for b in blobs:
-        n += len(b) // 4
-        ends.append(n)
-    flat = pa.Array.from_buffers(pa.int32(), n, [None, pa.py_buffer(b"".join(blobs))])
-    return pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends.tobytes())]), flat)
-
-
-def stitch(enc: Encoder, chunks: list[tuple[int, str]]) -> list[str]:
-    """The pre-tokens of the text whose overlapping ``(start, chunk)`` these are, in order."""
-    out: list[str] = []
-    start, text = chunks[0]
-    left = enc.pieces(text)
-    for at, more in chunks[1:]:
-        bounds, p = [], start
-        for piece in left:
-            bounds.append(p)
-            p += len(piece)
-        sure = start + len(text) - TAIL
-        right, q, meet = enc.pieces(more), at, None
-        for k, piece in enumerate(right):
-            j = bisect_left(bounds, q)
-            if j < len(bounds) and bounds[j] == q and q <= sure:
-                meet = j, k
-                break
-            if q > sure:
-                break
-            q += len(piece)
-        if meet:
-            out += left[: meet[0]]
-            start, text, left = q, more[q - at :], right[meet[1] :]
-        else:  # one run of characters fills the overlap: go on from the left's last sure boundary
-            j = max(0, bisect_left(bounds, sure) - 1)
-            out += left[:j]
-            text = text[bounds[j] - start :] + more[start + len(text) - at :]
-            start, left = bounds[j], enc.pieces(text)
-    return out + left
-
-
-def encode(
-    df: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k", chunk_chars: int = 16_384, overlap: int = 256, counts: bool = False
-) -> DataFrame:
-    """``key`` and ``ids`` (array<int>) of every row's text, without special tokens; with ``counts`` also ``n_tokens`` instead of ids.
-
-    Short texts are encoded where they are read, without a shuffle; only the chunks of long ones are shuffled, by row.
-    """
-    kind = df.schema[key].dataType.simpleString()
-    cols = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    value, sql = ("n_tokens", "int") if counts else ("ids", "array<int>")
-
-    def rows(keys, blobs: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([keys, pa.array([len(b) // 4 for b in blobs], pa.int32()) if counts else _ids_column(blobs)], ["key", value])
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizers, name)
-        for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
-                yield rows(part.column(0), [enc.encode(x) for x in part.column(1).to_pylist()])
-
-    def whole(group: pa.Table) -> pa.Table:
-        enc = encoder(tokenizers, name)
-        g = group.sort_by("at")
-        pieces = stitch(enc, list(zip(g["at"].to_pylist(), g["chunk"].to_pylist(), strict=True)))
-        return pa.Table.from_batches([rows(g["key"].combine_chunks()[:1], [b"".join(map(enc.__getitem__, pieces))])])
-
-    n = F.length("text")
-    out = cols.filter(n <= chunk_chars).mapInArrow(short, f"key {kind}, {value} {sql}")
-    long = (
-        cols.filter(n > chunk_chars)
-        .withColumn("row", F.monotonically_increasing_id())
-        .select("row", "key", "text", F.explode(F.sequence(F.lit(0), n - 1, F.lit(chunk_chars))).alias("at"))
-        .select("row", "key", "at", F.substring("text", F.col("at") + 1, F.lit(chunk_chars + overlap)).alias("chunk"))
-    )
-    out = out.unionByName(long.groupBy("row").applyInArrow(whole, f"key {kind}, {value} {sql}"))
-    return out.withColumnRenamed("key", key)
-
-
 def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """The texts of lists of ids: the bytes of all ids, put together, read as UTF-8."""
     kind = df.schema[key].dataType.simpleString()
