@@ -1,10 +1,12 @@
 """Variant spellings of persons and organisations (problem 3).
 
 Method: metric-space partitioning. The parts of all distinct names (family and given names, coined words, trades) lie in
-the metric space of the unrestricted Damerau-Levenshtein distance. Pivots are spread over a bounded sample of the parts;
-every part belongs to the cell of its nearest pivot and is copied to each cell whose pivot is at most twice the radius
-farther: by the triangle inequality no pair within the radius is lost. Each cell runs an exact radius join, in which the
-distances to the pivot, the lengths and the letters sort out most pairs before the true distance is computed.
+the metric space of the unrestricted Damerau-Levenshtein distance, over whole words of any script. Pivots, as many as the
+square root of the parts, are spread over a bounded sample of them; every part belongs to the cell of its nearest pivot
+and is copied to each cell whose pivot is at most twice the radius farther: by the triangle inequality no pair within the
+radius is lost. Cells with too many parts are divided again by pivots of their own. Each cell runs an exact radius join,
+in which the distances to the pivot, the lengths and the letters sort out most pairs before the true distance is computed.
+Parts of less than four letters are compared for equality only: one edit makes most of them others.
 
 Names whose anchor (a family name, an organisation's coined word, the initials of a descriptive name) lies in one
 component of such pairs are then compared with each other: reordered parts, capitals, lost accents, initials, familiar
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graphs import connected_components
@@ -41,6 +43,8 @@ LAST_INITIAL = re.compile(rf"^(.+[^\W\d_]{{2}}),?\s+({INITIALS})\.?$")
 ACRONYM = re.compile(r"^(?:(?:[^\W\d_a-zß-ÿ]\.){2,8}|[^\W\d_a-zß-ÿ]{3,8})$")
 #: What being listed as a first name counts, in different parts beside it.
 LISTED = 20
+#: Distances beyond this count as this.
+FAR = 16
 PIECE = re.compile(r"[^\W\d_]+\.?")
 
 
@@ -49,86 +53,157 @@ def fold(s: str) -> str:
 
 
 def damerau(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Unrestricted Damerau-Levenshtein distances of row pairs of code arrays (codes under 64, padded with 0): a metric."""
+    """Unrestricted Damerau-Levenshtein distances of row pairs of code points (padded with 0), of any script and length.
+
+    What is farther than ``FAR`` counts as ``FAR``, which leaves it a metric and needs only a band of the table.
+    """
     n, m, k = len(la), a.shape[1], b.shape[1]
+    letters, of = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
+    a, b = of[: n * m].reshape(n, m), of[n * m :].reshape(n, k)
     at = np.arange(n)
-    far = m + k
-    h = np.full((m + 2, k + 2, n), far, np.int16)
+    h = np.full((m + 2, k + 2, n), m + k, np.int16)
     h[1:, 1, :] = np.arange(m + 1)[:, None]
     h[1, 1:, :] = np.arange(k + 1)[:, None]
-    last = np.zeros((64, n), np.int16)
+    last = np.zeros((len(letters), n), np.int16)
     for i in range(1, m + 1):
         db = np.zeros(n, np.int16)
-        for j in range(1, k + 1):
+        for j in range(max(1, i - FAR), min(k, i + FAR) + 1):
             i1, j1 = last[b[:, j - 1], at], db
             same = a[:, i - 1] == b[:, j - 1]
             swap = h[i1, j1, at] + (i - i1 - 1) + 1 + (j - j1 - 1)
             h[i + 1, j + 1] = np.minimum(np.minimum(h[i, j] + ~same, swap), np.minimum(h[i + 1, j], h[i, j + 1]) + 1)
             db = np.where(same, j, db).astype(np.int16)
         last[a[:, i - 1], at] = i
-    return h[la + 1, lb + 1, at]
+    return np.minimum(h[la + 1, lb + 1, at], FAR)
 
 
-def codes(words: list[str], width: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Letters as 1-26, other signs as 27-63 by their code; longer words are cut for the tables, which only shortens distances between cut ones."""
-    out = np.zeros((len(words), width), np.int16)
-    n = np.zeros(len(words), np.int16)
-    for k, w in enumerate(words):
-        w = w[:width]
-        n[k] = len(w)
-        out[k, : len(w)] = [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37 for c in w]
+def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' code points, padded with 0 to the longest, and their lengths."""
+    n = np.fromiter(map(len, words), np.int16, len(words))
+    out = np.zeros((len(words), max(1, int(n.max(initial=0)))), np.int32)
+    out[np.arange(out.shape[1])[None] < n[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32)
     return out, n
 
 
 def _distances(x: tuple[np.ndarray, np.ndarray], i: np.ndarray, y: tuple[np.ndarray, np.ndarray], j: np.ndarray) -> np.ndarray:
-    out = [np.zeros(0, np.int16)]
-    for s in range(0, len(i), 20_000):
-        p, q = i[s : s + 20_000], j[s : s + 20_000]
-        la, lb = x[1][p], y[1][q]
-        out.append(damerau(x[0][p][:, : max(1, la.max())], y[0][q][:, : max(1, lb.max())], la, lb))
-    return np.concatenate(out)
-
-
-def pivots(units: DataFrame, n: int, sample: int) -> list[str]:
-    """Up to ``n`` parts far from each other, chosen among ``sample`` that a hash picks from all."""
-    got = [r[0] for r in units.select("unit").orderBy(F.xxhash64("unit")).limit(sample).collect()]
-    if not got:
+    """Distances of the words ``i`` of ``x`` from the words ``j`` of ``y``, in portions of bounded memory, long words apart."""
+    out = np.minimum(np.abs(x[1][i] - y[1][j]), FAR).astype(np.int16)
+    same = np.flatnonzero(out == 0)
+    if len(same):
+        w = min(x[0].shape[1], y[0].shape[1])
+        equal = [same[s : s + 100_000][(x[0][i[same[s : s + 100_000]], :w] == y[0][j[same[s : s + 100_000]], :w]).all(1)] for s in range(0, len(same), 100_000)]
+        same = np.concatenate(equal)
+    longest = np.maximum(x[1][i], y[1][j])
+    order = np.setdiff1d(np.flatnonzero(out < FAR), same, assume_unique=True)  # the rest is known
+    order = order[np.argsort(longest[order], kind="stable")]
+    signs = len(np.unique(x[0])) + len(np.unique(y[0]))
+    s = 0
+    while s < len(order):
+        step = max(1, min(20_000, 20_000_000 // max(1, signs), 6_000_000 // (int(longest[order[min(len(order) - 1, s + 20_000)]]) + 2) ** 2))
+        at = order[s : s + step]
+        la, lb = x[1][i[at]], y[1][j[at]]
+        out[at] = damerau(x[0][i[at]][:, : max(1, la.max())], y[0][j[at]][:, : max(1, lb.max())], la, lb)
+        s += step
+    return out
+
+
+def spread(words: list[str], n: int) -> list[str]:
+    """Up to ``n`` of the words, far from each other."""
+    if not words:
         return []
-    x = codes(got)
+    x = codes(words)
     chosen = [0]
-    near = _distances(x, np.arange(len(got)), x, np.zeros(len(got), int))
-    while len(chosen) < min(n, len(got)):
+    near = _distances(x, np.arange(len(words)), x, np.zeros(len(words), int))
+    while len(chosen) < min(n, len(words)):
         k = int(near.argmax())
         if near[k] == 0:
             break
         chosen.append(k)
-        near = np.minimum(near, _distances(x, np.arange(len(got)), x, np.full(len(got), k)))
-    return [got[k] for k in chosen]
+        near = np.minimum(near, _distances(x, np.arange(len(words)), x, np.full(len(words), k)))
+    return [words[k] for k in chosen]
 
 
-def radius_join(units: DataFrame, radius: int = 1, n_pivots: int = 48, sample: int = 2000, block: int = 2048) -> DataFrame:
-    """``a < b, distance`` of all parts (column ``unit``, distinct) within ``radius`` of each other: exact."""
-    centres = pivots(units, n_pivots, sample)
-    if not centres:
-        return units.sparkSession.createDataFrame([], "a string, b string, distance int")
-    c = codes(centres)
+def _placed(words: list[str], centres: list[str], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``word, centre, home, distance``: each word at its nearest centre and at all that are at most twice the radius farther."""
+    n, p = len(words), len(centres)
+    d = _distances(codes(words), np.repeat(np.arange(n), p), codes(centres), np.tile(np.arange(p), n)).reshape(n, p)
+    i, q = np.nonzero(d <= d.min(1)[:, None] + 2 * radius)
+    return i, q, d.argmin(1)[i] == q, d[i, q]
+
+
+CELL = "cell string, unit string, home boolean, d int"
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def cells(units: DataFrame, radius: int, sample: int, most: int, n_pivots: int | None = None, rounds: int = 2) -> DataFrame:
+    """``cell, unit, home, d``: the parts by pivots, cells of more than ``most`` rows again by pivots of their own.
+
+    The number of pivots grows with that of the parts: its square root in the first round (chosen among ``sample`` parts
+    that a hash picks from all), then as many as cells of half the bound need, up to 64 a round (among 512 of the cell's
+    own parts). Copies multiply with every round, so there are at most ``rounds`` of them, and a cell that isn't halved, since
+    its parts are all equally far from each other, stays as it is: ``radius_join`` takes it in blocks.
+    """
+    n = units.count()
+    got = [r[0] for r in units.select("unit").orderBy(F.xxhash64("unit")).limit(sample).collect()]
+    centres = spread(got, n_pivots or max(8, int(n**0.5)))
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def rows(cell: list[str], words: list[str], home: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array(words, pa.string()), pa.array(home, pa.bool_()), pa.array(d, pa.int32())], ["cell", "unit", "home", "d"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = b.column(0).to_pylist()
-            x = codes(words)
-            n, p = len(words), len(centres)
-            d = _distances(x, np.repeat(np.arange(n), p), c, np.tile(np.arange(p), n)).reshape(n, p)
-            home = d.argmin(1)
-            i, q = np.nonzero(d <= d.min(1)[:, None] + 2 * radius)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array([words[k] for k in i], pa.string()), pa.array(home[i] == q, pa.bool_()), pa.array(d[i, q], pa.int32())], ["cell", "unit", "home", "d"])
-
-    placed = materialize(units.select("unit").mapInArrow(assign, "cell int, unit string, home boolean, d int"), "cells")
-    # A cell's own parts are taken in blocks, each against all of the cell, so that no task holds more than one block's pairs.
-    sizes = {r["cell"]: -(-r["n"] // block) for r in placed.filter("home").groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = F.element_at(F.create_map(*(F.lit(v) for kv in sizes.items() for v in kv)), F.col("cell"))
-    own = placed.filter("home").select("cell", F.expr("abs(hash(unit))").alias("r"), "unit", "d", blocks.alias("k")).select("cell", F.expr("r % k").cast("int").alias("block"), "unit", "d", F.lit(True).alias("home"))
-    every = placed.withColumn("k", blocks).filter("k is not null").select("cell", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), "unit", "d", F.lit(False).alias("home"))
+            for s in range(0, b.num_rows, 1000):
+                words = b.column(0).slice(s, 1000).to_pylist()
+                i, q, home, d = _placed(words, centres, radius)
+                yield rows([str(k) for k in q], [words[k] for k in i], home, d)
+
+    placed = materialize(units.select("unit").repartition(tasks).mapInArrow(first, CELL), "cells")
+    done = None
+    for _ in range(rounds):
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+        sizes = materialize(sizes, "big_cells")
+        if sizes.isEmpty():
+            break
+        by = Window.partitionBy("cell").orderBy(F.xxhash64("unit"))
+        picked = placed.join(sizes, "cell").withColumn("rank", F.row_number().over(by)).filter("rank <= 512")
+
+        def choose(group: pa.Table) -> pa.Table:
+            n = -(-2 * group["n"][0].as_py() // most)
+            return pa.table({"cell": group["cell"].slice(0, 1), "n": group["n"].slice(0, 1), "centres": pa.array([spread(sorted(group["unit"].to_pylist()), min(64, max(4, n)))], pa.list_(pa.string()))})
+
+        centre_sets = picked.groupBy("cell").applyInArrow(choose, "cell string, n long, centres array<string>")
+        small = placed.join(sizes.select("cell"), "cell", "left_anti")
+        done = small if done is None else done.unionByName(small)
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cell, words, home = (b.column(k).to_pylist() for k in range(3))
+                for c in sorted(set(cell)):
+                    at = [k for k, x in enumerate(cell) if x == c]
+                    for s in range(0, len(at), 1000):
+                        some = at[s : s + 1000]
+                        i, q, nearest, d = _placed([words[k] for k in some], b.column(3)[some[0]].as_py(), radius)
+                        yield rows([f"{c}.{k}" for k in q], [words[some[k]] for k in i], nearest & np.array([home[some[k]] for k in i], bool), d)
+
+        split = materialize(placed.join(centre_sets, "cell").select("cell", "unit", "home", "centres").mapInArrow(again, CELL), "cells")
+        # What a split doesn't halve isn't split again.
+        parent = F.regexp_replace("cell", r"\.\d+$", "")
+        grown = split.groupBy("cell").agg(F.count("*").alias("m")).join(sizes.withColumnRenamed("cell", "parent"), parent == F.col("parent")).filter("m * 2 > n").select("cell")
+        stuck = split.join(grown, "cell", "left_semi")
+        done = done.unionByName(stuck)
+        placed = materialize(split.join(grown, "cell", "left_anti"), "cells")
+    return placed if done is None else materialize(done.unionByName(placed), "cells")
+
+
+def radius_join(units: DataFrame, radius: int = 1, n_pivots: int | None = None, sample: int = 2000, most: int = 8192, block: int = 2048) -> DataFrame:
+    """``a < b, distance`` of all parts (column ``unit``, distinct) within ``radius`` of each other: exact."""
+    placed = cells(units, radius, sample, most, n_pivots)
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A cell's own parts are taken in blocks, each against the cell, so that no task holds more than one block's pairs.
+    homes = placed.filter("home").groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    both = placed.join(homes, "cell")
+    own = both.filter("home").select("cell", F.expr("cast(pmod(hash(unit), k) as int)").alias("block"), "unit", "d", F.lit(True).alias("home"))
+    every = both.select("cell", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), "unit", "d", F.lit(False).alias("home"))
 
     def join(group: pa.Table) -> pa.Table:
         home = group["home"].to_numpy(zero_copy_only=False)
@@ -136,9 +211,9 @@ def radius_join(units: DataFrame, radius: int = 1, n_pivots: int = 48, sample: i
         d = group["d"].to_numpy()
         left, right = np.flatnonzero(home), np.flatnonzero(~home)
         x = codes(words)
-        bag = np.zeros((len(words), 64), np.int8)
+        bag = np.zeros((len(words), 64), np.int16)
         for col in range(x[0].shape[1]):
-            np.add.at(bag, (np.arange(len(words)), x[0][:, col]), (x[0][:, col] > 0).astype(np.int8))
+            np.add.at(bag, (np.arange(len(words)), x[0][:, col] % 64), (x[0][:, col] > 0).astype(np.int16))
         name = np.array(words, object)
         out = []
         for k in range(0, len(left), 64):
@@ -156,7 +231,8 @@ def radius_join(units: DataFrame, radius: int = 1, n_pivots: int = 48, sample: i
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"a": pa.array(cols[0], pa.string()), "b": pa.array(cols[1], pa.string()), "distance": pa.array(cols[2], pa.int32())})
 
-    return own.unionByName(every).groupBy("cell", "block").applyInArrow(join, "a string, b string, distance int").distinct()
+    work = materialize(own.unionByName(every), "cell_blocks").repartition(tasks, "cell", "block")
+    return work.groupBy("cell", "block").applyInArrow(join, "a string, b string, distance int").distinct()
 
 
 def parse(name: str) -> tuple[str, str, list[str]]:
@@ -443,27 +519,30 @@ def classes(names: DataFrame, given: DataFrame, radius: int = 1, known: int = 5)
     families = firsts.groupBy("part").agg(F.count("*").alias("families"))
     met = firsts.join(firsts.select("anchor", F.col("part").alias("q")), "anchor").filter("part <> q").groupBy("part", "q").agg(F.count("*").alias("n")).filter("n >= 2")
     learned = met.join(families, "part").join(families.select(F.col("part").alias("q"), F.col("families").alias("fq")), "q").filter("n * 2 >= families and fq > families and (substr(part, 1, 1) = substr(q, 1, 1) or substr(part, -3) = substr(q, -3))")
+    learned = learned.groupBy("part").agg(F.collect_set("q").alias("forms"))
     listed_forms = frozenset(familiar)
-    for r in learned.select("part", "q").collect():  # as many as there are familiar forms of first names
-        if r[0] not in formal_names and r[0] not in listed_forms and r[1] not in listed_forms:
-            familiar.setdefault(r[0], set()).add(r[1])
-    anchors = t.select("anchor").distinct()
-    pairs = close.join(anchors.select(F.col("anchor").alias("a")), "a").join(anchors.select(F.col("anchor").alias("b")), "b").select("a", "b")
+    pairs = close.join(t.select(F.col("anchor").alias("a")).distinct(), "a").join(t.select(F.col("anchor").alias("b")).distinct(), "b").select("a", "b")
     pairs = materialize(pairs, "anchor_pairs")
-    part_of = connected_components(pairs, "a", "b")
+    part_of = materialize(connected_components(pairs, "a", "b"), "anchor_components")
     t = t.join(part_of.select(F.col("node").alias("anchor"), "component"), "anchor", "left").withColumn("component", F.coalesce("component", "anchor"))
-    edges = pairs.join(part_of.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.collect_set(F.struct("a", "b")).alias("close"))
-    t = t.join(edges, "component", "left")
+    t = materialize(t.join(learned, "part", "left").select("component", "name", "kind", "anchor", "part", "parts", "weight", "forms"), "to_settle")
+    edges = materialize(pairs.join(part_of.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b"), "component_pairs")
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
+    def settle(group: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame({"name": [], "class": []})
         group = group.sort_values("name").reset_index(drop=True)
-        first = group["close"].iloc[0]
-        close_ = {(x["a"], x["b"]) for x in first} if first is not None else set()
-        of = resolve(group[["kind", "anchor", "part", "parts", "weight"]].to_dict("records"), close_, familiar, known)
+        formal = dict(familiar)
+        for p, forms in zip(group["part"], group["forms"], strict=True):
+            if forms is not None and p not in formal_names and p not in listed_forms:
+                formal[p] = {f for f in forms if f not in listed_forms}
+        of = resolve(group[["kind", "anchor", "part", "parts", "weight"]].to_dict("records"), set(zip(links["a"], links["b"], strict=True)), {k: v for k, v in formal.items() if v}, known)
         return pd.DataFrame({"name": group["name"], "class": group["name"].to_numpy()[of]})
 
-    # Few bytes but much work: the number of partitions is kept, not fitted to their size.
-    return t.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component").groupBy("component").applyInPandas(settle, "name string, class string")
+    # Few bytes but much work: both sides are read from tables and cut into a fixed number of partitions, which isn't fitted to their size.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left, right = t.repartition(tasks, "component"), edges.repartition(tasks, "component")
+    return left.groupBy("component").cogroup(right.groupBy("component")).applyInPandas(settle, "name string, class string")
 
 
 def variants(entities: DataFrame, biblio: DataFrame, given: DataFrame) -> DataFrame:

@@ -108,3 +108,24 @@ def test_tables(spark):
     assert none.count() == 0
     long = spark.createDataFrame([("X" * 5000 + " Yver", 1), ("Odile " + "b" * 300, 1)], "name string, n int")
     assert names.classes(long, g).count() == 2
+
+
+def test_long_names_and_other_scripts(spark):
+    words = ["eidgenoessischematerialprueffungsamt", "eidgenoessischematerialprueffungsam", "eidgenoessischematerialxxxxxxxx", "versicherungsgesellschaft", "versicherungsgesellschafft", "versichervngsgesellschaft", "東京新聞社", "東京新聞", "京都新聞社", "иванов", "иваново", "сидоров", "x" * 300, "x" * 299 + "y"]
+    i, j = np.array([(p, q) for p in range(len(words)) for q in range(len(words))]).T
+    x = names.codes(words)
+    assert names._distances(x, i, x, j).tolist() == [min(names.FAR, distance(words[p], words[q])) for p, q in zip(i, j)]
+    got = names.radius_join(spark.createDataFrame([(w,) for w in words], "unit string"), 1)
+    assert {(r.a, r.b) for r in got.collect()} == {(a, b) for a in words for b in words if a < b and distance(a, b) <= 1}
+    assert not names.near("東京新聞社", "大阪日報社") and not names.near("eidgenoessischematerialprueffungsamt", "eidgenoessischematerialxxxxxxxx")
+
+
+def test_cells_are_divided_until_they_are_small(spark):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice(x) for x in (["val", "bor", "tres"], ["mon", "galt", "q"], ["quin", "la", "veyr"], ["rec", "do", "ns", "tt"], ["", "e", "ey", "az"])) for _ in range(500)} | {"valdorne" + c for c in "abcdefghijklmnop"})
+    units = spark.createDataFrame([(w,) for w in words], "unit string")
+    placed = names.cells(units, 1, 200, 150, 3).toPandas()
+    assert placed[placed.home].unit.is_unique and set(placed[placed.home].unit) == set(words)
+    assert any("." in c for c in placed.cell), "cells above the bound were divided"
+    got = {(r.a, r.b) for r in names.radius_join(units, 1, n_pivots=3, sample=200, most=150, block=50).collect()}
+    assert got == {(a, b) for k, a in enumerate(words) for b in words[k + 1 :] if abs(len(a) - len(b)) < 2 and distance(a, b) <= 1}
