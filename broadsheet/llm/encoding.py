@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+#: Letters of which every choice to lose is listed; words with more are compared letter by letter.
+FEW = 4
 LOST = "�"
 #: Encodings in which the bytes of UTF-8 were misread, and single-byte encodings taken for one another.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859_15")
@@ -68,9 +70,9 @@ def chains(word: str) -> dict[str, str]:
                 out.setdefault(misread(data, d), f"{s} > {d}")
         if s == "cp1252":
             out.setdefault(data.decode("utf-8", "replace"), "cp1252 > utf-8")
-    # Letters are lost one by one, too: every choice of them, as long as they are few.
+    # Letters are lost one by one, too: every choice of them; of more than FEW only all, ``lost_letters`` finds the others.
     wide = [k for k, c in enumerate(word) if not c.isascii()]
-    for m in range(1, 1 << len(wide)) if len(wide) <= 4 else ((1 << len(wide)) - 1,):
+    for m in range(1, 1 << len(wide)) if len(wide) <= FEW else ((1 << len(wide)) - 1,):
         gone = {k for j, k in enumerate(wide) if m >> j & 1}
         out.setdefault("".join("?" if k in gone else c for k, c in enumerate(word)), "> ascii")
     spaced = {SPACE.sub(" ", g.replace(" ", " ")).strip(EDGES): c for g, c in out.items() if " " in g}
@@ -109,7 +111,7 @@ def words_of(tokens: Counter) -> Counter:
         if t.isascii() and not QUESTION.search(t):
             continue
         for w in forms_of(t):
-            if w and len(w) < 200:
+            if w:
                 out[w] += n
     return out
 
@@ -130,8 +132,8 @@ def vocabulary(docs: DataFrame, fields: list[str]) -> DataFrame:
     return docs.select(*(F.col(f"`{f}`") for f in fields)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def garbled_forms(vocab: DataFrame, least: int = 2) -> DataFrame:
-    """``garbled, original, chain, n`` for every clean word that occurs ``least`` times, and its capitals."""
+def garbled_forms(vocab: DataFrame) -> DataFrame:
+    """``garbled, original, chain, n`` for every clean word and its capitals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,7 +146,21 @@ def garbled_forms(vocab: DataFrame, least: int = 2) -> DataFrame:
             c = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.string()), pa.array(c[3], pa.int64())], ["garbled", "original", "chain", "n"])
 
-    return vocab.filter(F.col("n") >= least).mapInArrow(run, "garbled string, original string, chain string, n long")
+    return vocab.mapInArrow(run, "garbled string, original string, chain string, n long")
+
+
+def lost_letters(vocab: DataFrame) -> DataFrame:
+    """``garbled, original, chain, n_garbled, n`` of the tokens that are a word with more than ``FEW`` letters beyond ASCII, some of them lost.
+
+    Word and token meet in the form in which all such letters are lost; then each sign must be the word's or lost.
+    """
+    wide = F.length(F.regexp_replace("word", r"[\x00-\x7f]", "")) > FEW
+    every = F.regexp_replace("word", r"[^\x00-\x7f]", "?").alias("form")
+    clean = vocab.filter(wide).filter("instr(word, '?') = 0")
+    clean = clean.unionByName(clean.select(F.upper("word").alias("word"), "n")).distinct().select(every, F.col("word").alias("original"), "n")
+    seen = vocab.filter("instr(word, '?') > 0").select(every, F.col("word").alias("garbled"), F.col("n").alias("n_garbled"))
+    fits = F.forall(F.sequence(F.lit(1), F.length("original")), lambda k: (F.substring("garbled", k, F.lit(1)) == "?") | (F.substring("garbled", k, F.lit(1)) == F.substring("original", k, F.lit(1))))
+    return seen.join(clean, "form").filter((F.length("garbled") == F.length("original")) & fits).select("garbled", "original", F.lit("> ascii").alias("chain"), "n_garbled", "n")
 
 
 def repairs(docs: DataFrame, fields: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
@@ -159,7 +175,7 @@ def repairs(docs: DataFrame, fields: list[str]) -> tuple[DataFrame, list[tuple[s
 
     seen = vocab.select(F.col("word").alias("garbled"), F.col("n").alias("n_garbled"))
     forms = garbled_forms(vocab).join(seen, "garbled").select("garbled", "original", "chain", "n_garbled", "n")
-    forms = forms.mapInArrow(plausible, forms.schema)
+    forms = forms.unionByName(lost_letters(vocab)).distinct().mapInArrow(plausible, forms.schema)
     best = forms.groupBy("garbled").agg(F.max_by(F.struct("original", "chain"), F.struct("n", "original")).alias("b")).select("garbled", "b.original", "b.chain")
     # The alphabet is bounded by Unicode, not by the corpus: distinct characters of clean words.
     letters = vocab.filter("n >= 5").select(F.explode(F.split("word", "")).alias("c"), "n").filter("c > '\u007f'").groupBy("c").agg(F.sum("n").alias("n")).filter("n >= 5").select("c").collect()

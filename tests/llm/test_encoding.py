@@ -65,3 +65,11 @@ def test_empty_and_long(spark):
     assert encoding.find(none, ["content", "title"]).count() == 0
     long = spark.createDataFrame([("l", "été " * 100_000 + "Ã©" * 50_000), (None, "Ã©")], "id string, content string")
     assert {r.id for r in encoding.find(long, ["content"]).collect()} == {"l", None}
+
+
+def test_every_clean_word_counts_once_seen_long_or_with_many_letters_to_lose(spark):
+    many, long = "dégénérée-éméchée", "é".join("abcdefghij" * 25)
+    rows = [(f"c{k}", f"la {many} et {long} reste") for k in range(3)] + [("one", "le mot Vôtré seul")]
+    rows += [("part", f"la {many.replace('é', '?', 5)} va"), ("single", "le " + garble("Vôtré", "cp850 > cp1252") + " va"), ("long", "le " + garble(long, "utf-8 > cp1252") + " va"), ("plain", "le mot quoi?rien reste")]
+    out = {r.id: r.restored for r in encoding.find(spark.createDataFrame(rows, "id string, content string"), ["content"], restore=True).collect()}
+    assert out == {"part": f"la {many} va", "single": "le Vôtré va", "long": f"le {long} va"}
