@@ -70,3 +70,31 @@ class Catalog:
 def cache_key(*parts) -> str:
     """A digest of what a cached step depends on: path, settings, counts."""
     return hashlib.md5(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
+
+
+class StepCache:
+    """Results of pre-processing steps under ``root``, by the digest of what they depend on, with an inventory."""
+
+    SCHEMA = "key string, source string, settings string, articles long, created_at timestamp"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.records, self.spark, self.root = Catalog(spark, root), spark, root.rstrip("/")
+
+    def get(self, source: str, settings: dict, articles: int, changed: str, make) -> DataFrame:
+        """The stored result for these settings, else what ``make()`` gives, stored under them."""
+        key = cache_key(source, settings, articles, changed)
+        if self.inventory().filter(F.col("key") == key).isEmpty():
+            make().write.mode("overwrite").parquet(f"{self.root}/steps/{key}")
+            self.records._append("steps_made", [(key, source, json.dumps(settings, sort_keys=True, ensure_ascii=False), articles, datetime.now(UTC))], self.SCHEMA)
+        return self.spark.read.parquet(f"{self.root}/steps/{key}")
+
+    def inventory(self) -> DataFrame:
+        """``key, source, settings, articles, created_at`` of what is stored, the newest first."""
+        return self.records._read("steps_made", self.SCHEMA).orderBy(F.desc("created_at"), "key")
+
+    def sizes(self) -> dict[str, int]:
+        """Bytes of each stored step."""
+        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        on = fs.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return {r["key"]: on.getContentSummary(path(f"{self.root}/steps/{r['key']}")).getLength() for r in self.inventory().select("key").distinct().collect()}

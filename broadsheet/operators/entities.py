@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,31 @@ def cooccurrence(mentions: DataFrame, labels: list[str] | None = None) -> DataFr
 def summary(mentions: DataFrame) -> DataFrame:
     """By label: mentions, documents, and the mentions of a document that has any."""
     return mentions.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"))
+
+
+#: Two or more words with capitals, as names of persons, organisations and places are written.
+NAME = r"\p{Lu}[\p{L}\p{M}]{2,}(?:[ -]\p{Lu}[\p{L}\p{M}]{2,})+"
+
+
+def spans(df: DataFrame, key: str, text: Column, pattern: str = NAME) -> DataFrame:
+    """``key, text, start, end`` of every match of ``pattern``, in characters from 0; blank and null texts have none.
+
+    Offsets are running sums over the matches and the gaps between them; only these are shuffled, not the texts.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    x = df.select(key, found.alias("f"), F.split(text, pattern, -1).alias("g")).select(key, F.posexplode(F.arrays_zip(F.col("f"), F.slice("g", 1, F.size("f")).alias("g"))).alias("k", "x"))
+    w = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = x.select(key, F.col("x.f").alias("text"), F.sum(F.length("x.f") + F.length("x.g")).over(w).cast("int").alias("end"))
+    return out.select(key, "text", (F.col("end") - F.length("text")).alias("start"), "end")
+
+
+def gazetteer(mentions: DataFrame) -> DataFrame:
+    """``text, label``: each known name with its most frequent label."""
+    n = mentions.filter("text is not null").groupBy("text", "label").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("text").orderBy(F.desc("n"), "label")
+    return n.withColumn("r", F.row_number().over(w)).filter("r = 1").select("text", "label")
+
+
+def labelled(found: DataFrame, names: DataFrame, other: str = "MISC", targets: tuple[str, ...] = ("PER", "ORG", "LOC", "MISC")) -> DataFrame:
+    """Spans with a label; a model's output takes the place of ``names`` where there is one."""
+    return found.join(names, "text", "left").withColumn("label", F.coalesce("label", F.lit(other))).filter(F.col("label").isin(*targets))

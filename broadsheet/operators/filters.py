@@ -158,3 +158,23 @@ def criteria(df: DataFrame, kind: str, value, term: str | None = None) -> DataFr
     }
     df = df.filter(tests[kind]())
     return df.filter(whole_word_count(c("content"), term) > 0) if term else df
+
+
+def click_filter(chart: str, point: dict, index: str | None = None) -> tuple[str | None, object, object]:
+    """``(filter type, value, term)`` of a point of a chart; nothing for charts that filter nothing."""
+    label = point.get("label") or point.get("x")
+    if chart in ("sentiment-by-newspaper", "sentiment-by-topic"):
+        return chart.rsplit("-", 1)[1], label, label
+    if chart == "sentiment-by-date":
+        return "date", point.get("x"), point.get("x")
+    if chart in ("sentiment-pie", "sentiment-histogram") and "label" in point:
+        return "sentiment_category", point["label"].lower(), None
+    if chart in ("sentiment-distribution", "sentiment-pie", "sentiment-histogram"):
+        return "sentiment_score", point.get("x"), None
+    if chart in ("sentiment-top-positive", "sentiment-top-negative"):
+        return "sentiment_category", "positif" if chart.endswith("positive") else "négatif", None
+    if chart == "entity-distribution":
+        return "entity_type", point.get("label"), point.get("label")
+    if chart.startswith("entity-frequency-"):
+        return "entity", point.get("x"), point.get("x")
+    return ("article_id", index, None) if chart == "entity-top-articles" else (None, None, None)

@@ -16,8 +16,11 @@ def words(text: Column) -> Column:
 def statistics(df: DataFrame, key: str, text: Column) -> DataFrame:
     """Sentences, tokens, types, their ratio, entropy in bits, mean word and sentence length of every text with words."""
     base = df.select(key, words(text).alias("w"), F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"[.!?]+"))).alias("num_sentences")).filter(F.size("w") > 0)
-    counts = F.transform(F.array_distinct("w"), lambda x: F.size(F.filter("w", lambda y: y == x)))
     n = F.size("w")
+    # The words in order, and where in it another one begins: counts without comparing every word with every other.
+    base = base.withColumn("o", F.sort_array("w"))
+    base = base.withColumn("p", F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get("o", i) != F.get("o", i - 1))))
+    counts = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.get("p", i) - F.get("p", i - 1))
     entropy = F.aggregate("c", F.lit(0.0), lambda s, k: s - k / n * F.log2(k / n))
     letters = F.aggregate("w", F.lit(0), lambda s, x: s + F.length(x))
     out = base.withColumn("c", counts)
@@ -55,3 +58,28 @@ def top_words(df: DataFrame, key: str, text: Column, stop: list[str], k: int = 5
     counted = base.groupBy(key, "w").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     w = Window.partitionBy(key).orderBy(F.desc("n"), "first")
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(key, "w", "n", "rank")
+
+
+def top_words_string(df: DataFrame, key: str, text: Column, stop: list[str], k: int = 5) -> DataFrame:
+    """``key, top_words``: the ``k`` most frequent words of each text as ``word:n,...``."""
+    top = top_words(df, key, text, stop, k).select(key, F.struct("rank", F.concat_ws(":", "w", F.col("n").cast("string")).alias("x")).alias("x"))
+    return top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["x"]), ",").alias("top_words"))
+
+
+def tag_ratios(df: DataFrame, key: str, text: str, tagger, tags: tuple[str, ...] = ("NOUN", "VERB", "ADJ", "ADV")) -> DataFrame:
+    """``key, lexical_density`` and the share of each tag among the words of every text.
+
+    ``tagger`` takes a list of texts and returns for each the tags of its words; it runs in the tasks, on Arrow batches.
+    A text without words has shares 0.
+    """
+    import pyarrow as pa
+
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            tagged = [list(x) for x in tagger([x or "" for x in b.column(1).to_pylist()])]
+            shares = [[x.count(t) / len(x) if x else 0.0 for t in tags] for x in tagged]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sum(x) for x in shares], pa.float64()), *(pa.array([x[i] for x in shares], pa.float64()) for i in range(len(tags)))], [key, "lexical_density", *(f"pos_{t}" for t in tags)])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, lexical_density double, " + ", ".join(f"pos_{t} double" for t in tags))

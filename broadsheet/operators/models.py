@@ -9,10 +9,15 @@ from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import materialize
+
+
+#: Words that a model's vocabulary can hold: above any language's.
+VOCABULARY = 1 << 24
 
 
 def token_column(text: Column, stop: list[str], least: int = 3) -> Column:
@@ -22,7 +27,7 @@ def token_column(text: Column, stop: list[str], least: int = 3) -> Column:
 
 def lda(df: DataFrame, key: str, k: int = 5, min_df: float = 5, max_df: float = 0.7, iterations: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """``key, topic_distribution, dominant_topic`` of documents (``tokens``) and ``topic, rank, word, weight`` of the topics."""
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, maxDF=max_df).fit(df)
+    cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=VOCABULARY).fit(df)
     x = cv.transform(df)
     model = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online").fit(x)
     d = vector_to_array("topicDistribution")
@@ -37,19 +42,61 @@ def lda(df: DataFrame, key: str, k: int = 5, min_df: float = 5, max_df: float =
     return docs, words.toDF("topic", "rank", "word", "weight")
 
 
+def numbered(keys: DataFrame, key: str, name: str, parts: int = 1024) -> DataFrame:
+    """``key`` with a number of its own from 0 on, without gaps: places within ``parts`` hash partitions after these partitions' counts."""
+    p = keys.select(key).distinct().withColumn("_p", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    counts, start = dict(p.groupBy("_p").count().collect()), {}
+    total = 0
+    for k in sorted(counts):
+        start[k] = total
+        total += counts[k]
+    first = F.create_map(*(F.lit(x) for kv in start.items() for x in kv)) if start else F.create_map(F.lit(0), F.lit(0))
+    return p.withColumn(name, (F.element_at(first, F.col("_p")) + F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1).cast("int")).drop("_p")
+
+
 def nmf(df: DataFrame, key: str, k: int = 5, min_df: float = 5, iterations: int = 10, seed: int = 42) -> DataFrame:
-    """Non-negative factors of the tf-idf matrix by alternating least squares: ``key, topic, weight``."""
+    """Non-negative factors of the tf-idf matrix by alternating least squares: ``key, topic, weight``.
+
+    The matrix is rows of document, word and value from counts, never a vector as wide as the vocabulary; documents and
+    words are numbered without collisions.
+    """
     from pyspark.ml.recommendation import ALS
 
-    cv = CountVectorizer(inputCol="tokens", outputCol="tf", minDF=min_df).fit(df)
-    x = IDF(inputCol="tf", outputCol="features").fit(tf := cv.transform(df)).transform(tf)
-    # ALS wants ids of 32 bits; documents are numbered by a stored table, not by position.
-    ids = x.select(key).distinct().withColumn("doc", F.pmod(F.xxhash64(key), F.lit(2**31 - 1)).cast("int"))
-    cells = x.join(ids, key).select("doc", F.posexplode(vector_to_array("features")).alias("word", "v")).filter("v > 0")
+    tf = df.select(key, F.explode("tokens").alias("w")).groupBy(key, "w").agg(F.count("*").alias("tf"))
+    words = tf.groupBy("w").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+    n = df.select(key).distinct().count()
+    ids, places = materialize(numbered(df, key, "doc"), "nmf_documents"), materialize(numbered(words, "w", "word"), "nmf_words")
+    x = tf.join(words, "w").withColumn("v", F.col("tf") * F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0))).filter("v > 0")
+    cells = x.join(places, "w").join(ids, key).select("doc", "word", F.col("v").cast("float").alias("v"))
     model = ALS(rank=k, nonnegative=True, maxIter=iterations, userCol="doc", itemCol="word", ratingCol="v", seed=seed).fit(cells)
     return model.userFactors.withColumnRenamed("id", "doc").join(ids, "doc").select(key, F.posexplode("features").alias("topic", "weight"))
 
 
+def best_pick(scores: DataFrame, score: str, order: str, highest: bool = True) -> DataFrame:
+    """The one row with the best score, of equals the first in ``order``."""
+    return scores.orderBy(F.desc(score) if highest else F.asc(score), order).limit(1)
+
+
+def save_model(model, path: str) -> None:
+    """A fitted pyspark.ml model or pipeline at ``path``, in place of what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    """A model saved by ``save_model``, whatever its class."""
+    from pyspark.ml.util import DefaultParamsReader
+    from pyspark.sql import SparkSession
+
+    meta = DefaultParamsReader.loadMetadata(path, SparkSession.active())
+    kind = meta["class"].replace("org.apache.spark.ml", "pyspark.ml")
+    module, name = kind.rsplit(".", 1)
+    import importlib
+
+    while module and not hasattr(m := importlib.import_module(module), name):  # the JVM's packages are deeper than Python's modules
+        module = module.rsplit(".", 1)[0]
+    return getattr(m, name).load(path)
+
+
 def auto_k(df: DataFrame, ks: list[int], vector: str = "features", seed: int = 42) -> DataFrame:
     """``k, silhouette, cost`` for each number of clusters; the driver only loops over the candidates."""
     rows = []

@@ -13,7 +13,7 @@ from ..operators.terms import term_counts
 from .base import Corpus, latest, query
 from .filtering import GROUP_NEWS, SIM, YEAR, similar
 from .joining import with_centers
-from .strings import CLEAN_J, YEAR_ID, rows
+from .strings import CLEAN_J, STOP, YEAR_ID, rows
 
 TERMS = {"machines": ["ordinateur", "puce", "modem", "calculatrice"], "voies": ["tunnel", "pont", "route"], "liens": ["réseau", "téléphone"]}
 TERM_ROWS = "(VALUES " + ", ".join(f"('{c}', '{t}')" for c, ts in TERMS.items() for t in ts) + ") terms(category, term)"
@@ -99,20 +99,20 @@ def _(c):
     return entities.cooccurrence(c.mentions)
 
 
-@query("cooc_window", r"""SELECT least(x.w, y.w) AS a, greatest(x.w, y.w) AS b, count(*) AS n FROM (SELECT id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS p FROM (SELECT id, list_filter(regexp_extract_all(lower(title), '\p{L}+'), lambda v: v NOT IN ('le', 'la', 'de', 'du', 'l', 'un', 'une', 'pour')) AS t FROM a WHERE title IS NOT NULL)) x
-JOIN (SELECT id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS p FROM (SELECT id, list_filter(regexp_extract_all(lower(title), '\p{L}+'), lambda v: v NOT IN ('le', 'la', 'de', 'du', 'l', 'un', 'une', 'pour')) AS t FROM a WHERE title IS NOT NULL)) y ON x.id = y.id AND y.p - x.p BETWEEN 1 AND 3 AND x.w <> y.w GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("cooc_window", r"""SELECT least(x.w, y.w) AS a, greatest(x.w, y.w) AS b, count(*) AS n FROM (SELECT id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS p FROM (SELECT id, list_filter(regexp_extract_all(lower(content), '\p{L}+'), lambda v: v NOT IN ('le', 'la', 'de', 'du', 'l', 'un', 'une', 'pour')) AS t FROM a WHERE content IS NOT NULL)) x
+JOIN (SELECT id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS p FROM (SELECT id, list_filter(regexp_extract_all(lower(content), '\p{L}+'), lambda v: v NOT IN ('le', 'la', 'de', 'du', 'l', 'un', 'une', 'pour')) AS t FROM a WHERE content IS NOT NULL)) y ON x.id = y.id AND y.p - x.p BETWEEN 1 AND 3 AND x.w <> y.w GROUP BY 1, 2 HAVING count(*) >= 2""")
 def _(c):
-    return lexical.window_cooccurrence(rows(c, "title"), F.col("title"), ["le", "la", "de", "du", "l", "un", "une", "pour"])
+    return lexical.window_cooccurrence(rows(c, "content"), F.col("content"), ["le", "la", "de", "du", "l", "un", "une", "pour"])
 
 
 @query("cooc_matrix", r"""SELECT x.w AS a, y.w AS b, CAST(sum(x.n * y.n) AS BIGINT) AS n FROM k x JOIN k y ON x.id = y.id AND x.w < y.w GROUP BY 1, 2""".replace("FROM k x JOIN k y", "FROM kept x JOIN kept y"))
 def _(c):
-    return lexical.cooccurrence_matrix(rows(c, "title"), "id", F.col("title"))
+    return lexical.cooccurrence_matrix(rows(c, "content"), "id", F.col("content"))
 
 
 from .base import ORACLE, WITH  # noqa: E402
 
-ORACLE["cooc_matrix"] = WITH + r""", k AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(title), '\p{L}+')) AS w FROM a) GROUP BY 1, 2), kept AS (SELECT * FROM k WHERE w IN (SELECT w FROM k GROUP BY w HAVING count(*) >= 5))
+ORACLE["cooc_matrix"] = WITH + r""", k AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(content), '\p{L}+')) AS w FROM a) GROUP BY 1, 2), kept AS (SELECT * FROM k WHERE w IN (SELECT w FROM k GROUP BY w HAVING count(*) >= 5))
 SELECT x.w AS a, y.w AS b, CAST(sum(x.n * y.n) AS BIGINT) AS n FROM kept x JOIN kept y ON x.id = y.id AND x.w < y.w GROUP BY 1, 2"""
 
 LEX = r"""lw AS (SELECT id, regexp_extract_all(lower(content), '\p{L}+') AS w, greatest(1, len(regexp_extract_all(content, '[.!?]+'))) AS s FROM a WHERE content IS NOT NULL),
@@ -130,9 +130,16 @@ def _(c):
     return lex(c)
 
 
-@query("lexical_stats_bulk", f", {LEX} SELECT id, num_sentences, num_tokens, num_types, avg_sent_length FROM lex")
+STOPPED = ", ".join(f"'{w}'" for w in STOP)
+TOP_STRING = rf"""tw AS (SELECT id, w, count(*) AS n, min(p) AS f FROM (SELECT id, unnest(t) AS w, unnest(range(0, len(t))) AS p FROM (SELECT id, list_filter(regexp_extract_all(lower(content), '\p{{L}}+'), lambda v: v NOT IN ({STOPPED})) AS t FROM a WHERE content IS NOT NULL)) GROUP BY 1, 2),
+ts AS (SELECT id, string_agg(w || ':' || n, ',' ORDER BY r) AS top_words FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, f) AS r FROM tw QUALIFY r <= 5) GROUP BY id)"""
+
+
+@query("lexical_stats_bulk", f", {LEX}, {TOP_STRING} SELECT lex.*, coalesce(top_words, '') AS top_words FROM lex LEFT JOIN ts USING (id)")
 def _(c):
-    return lex(c).select("id", "num_sentences", "num_tokens", "num_types", "avg_sent_length")
+    """All but the ratios of parts of speech, which ``lexical.tag_ratios`` takes from a tagger."""
+    df = rows(c, "content")
+    return lex(c).join(lexical.top_words_string(df, "id", F.col("content"), STOP), "id", "left").withColumn("top_words", F.coalesce("top_words", F.lit("")))
 
 
 METRICS = ["num_sentences", "num_tokens", "num_types", "ttr", "avg_word_length"]
@@ -513,9 +520,9 @@ def _(c):
     return described(c).filter("y is not null").groupBy(decade(F.col("y")).alias("period")).agg(F.count("*").alias("n")).filter("n >= 50")
 
 
-@query("mark_special", r"""SELECT id, CAST(p AS BIGINT) AS p, w, regexp_full_match(w, '[A-Z]{2,}') AS acronym, lower(w) IN ('ordinateur', 'puce', 'modem', 'serveur') AS technical FROM (SELECT id, unnest(t) AS w, unnest(range(0, len(t))) AS p FROM (SELECT id, regexp_extract_all(title, '\p{L}+') AS t FROM a WHERE title IS NOT NULL)) WHERE regexp_full_match(w, '[A-Z]{2,}') OR lower(w) IN ('ordinateur', 'puce', 'modem', 'serveur')""")
+@query("mark_special", r"""SELECT id, CAST(p AS BIGINT) AS p, w, regexp_full_match(w, '[A-Z]{2,}') AS acronym, lower(w) IN ('ordinateur', 'puce', 'modem', 'serveur') AS technical FROM (SELECT id, unnest(t) AS w, unnest(range(0, len(t))) AS p FROM (SELECT id, regexp_extract_all(content, '\p{L}+') AS t FROM a WHERE content IS NOT NULL)) WHERE regexp_full_match(w, '[A-Z]{2,}') OR lower(w) IN ('ordinateur', 'puce', 'modem', 'serveur')""")
 def _(c):
-    t = rows(c, "title").filter("title is not null").select("id", F.posexplode(F.regexp_extract_all("title", F.lit(r"\p{L}+"), F.lit(0))).alias("p", "w"))
+    t = rows(c, "content").filter("content is not null").select("id", F.posexplode(F.regexp_extract_all("content", F.lit(r"\p{L}+"), F.lit(0))).alias("p", "w"))
     flagged = t.select("id", F.col("p").cast("long").alias("p"), "w", F.col("w").rlike("^[A-Z]{2,}$").alias("acronym"), F.lower("w").isin("ordinateur", "puce", "modem", "serveur").alias("technical"))
     return flagged.filter("acronym or technical")
 
@@ -526,9 +533,14 @@ def _(c):
     return t.filter("n > 0")
 
 
-@query("extract_entities", r"SELECT id, e, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(content, '[A-Z][a-z]{3,}(?:[ -][A-Z][a-z]{3,})+')) AS e FROM a) GROUP BY 1, 2")
+@query("extract_entities", rf""", sp AS (SELECT id, unnest(f) AS text, unnest(range(1, len(f) + 1)) AS k, g FROM (SELECT id, regexp_extract_all(content, '{entities.NAME}') AS f, regexp_split_to_array(content, '{entities.NAME}') AS g FROM a WHERE content IS NOT NULL)),
+pl AS (SELECT id, text, CAST(sum(length(g[k]) + length(text)) OVER (PARTITION BY id ORDER BY k) AS BIGINT) AS stop FROM sp),
+gz AS (SELECT text, label FROM (SELECT text, label, count(*) AS n FROM m GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY text ORDER BY n DESC, label) = 1)
+SELECT id, text, coalesce(label, 'MISC') AS label, stop - length(text) AS start, stop AS end_ FROM pl LEFT JOIN gz USING (text)""")
 def _(c):
-    return rows(c, F.regexp_extract_all("content", F.lit("[A-Z][a-z]{3,}(?:[ -][A-Z][a-z]{3,})+"), F.lit(0)).alias("x")).select("id", F.explode("x").alias("e")).groupBy("id", "e").agg(F.count("*").alias("n"))
+    """Names by their capitals, with offsets; labels by the names known so far, MISC for new ones."""
+    found = entities.spans(rows(c, "content"), "id", F.col("content"))
+    return entities.labelled(found, entities.gazetteer(c.mentions)).select("id", "text", "label", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"))
 
 
 @query("late_articles", "SELECT source, count(*) AS n, count(*) FILTER (WHERE loaded_at > (SELECT min(loaded_at) + INTERVAL 30 DAY FROM articles)) AS late FROM a GROUP BY source")

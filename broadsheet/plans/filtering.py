@@ -246,3 +246,14 @@ def _(c):
 @query("tag_any_exact", "SELECT id FROM a WHERE list_has_any(topics, ['informatique', 'internet'])")
 def _(c):
     return f.topics_any(rows(c, "topics"), ["informatique", "internet"]).select("id")
+
+
+@query("click_to_filter", "SELECT id FROM a WHERE newspaper = 'La Gazette d''Ormeval' UNION ALL SELECT id FROM sentiment_scores WHERE compound > 0.05")
+def _(c):
+    """Articles behind two clicked points: a newspaper's bar and a slice of the sentiment pie."""
+    from ..operators import rules
+    from ..operators.filters import click_filter
+
+    kind, value, _ = click_filter("sentiment-by-newspaper", {"x": "La Gazette d'Ormeval"})
+    mood = click_filter("sentiment-pie", {"label": "Positif"})[1]
+    return rows(c, "newspaper").filter(F.col(kind) == value).select("id").unionByName(c.sentiment.filter(F.lower(rules.sentiment_category(F.col("compound"))) == mood).select("id"))

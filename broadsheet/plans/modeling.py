@@ -87,7 +87,7 @@ def _(c):
 
 @query("class_tfidf")
 def _(c):
-    t = rows(c, models.token_column(F.col("title"), STOP).alias("tokens")).join(c.topics.select("id", "dominant_topic"), "id")
+    t = rows(c, models.token_column(F.col("content"), STOP).alias("tokens")).join(c.topics.select("id", "dominant_topic"), "id")
     return models.class_tfidf(t, "dominant_topic", "tokens").select("dominant_topic", "w", F.round("weight", 6).alias("weight"))
 
 
@@ -124,3 +124,30 @@ def _(c):
     df = split(materialize(models.balanced(df), "labelled"), "id", "label", 0.8, 42)
     out = models.text_classifier().fit(df.filter("part = 'train'")).transform(df.filter("part = 'test'"))
     return out.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("best_model_pick", "SELECT dominant_topic AS k, round(avg(topic_distribution[dominant_topic + 1]), 6) AS score FROM doc_topics WHERE dominant_topic IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def _(c):
+    """Of candidates with a mean score the best, of equals the first."""
+    t = c.topics.filter("dominant_topic is not null")
+    scores = t.groupBy(F.col("dominant_topic").alias("k")).agg(F.round(F.avg(F.try_element_at("topic_distribution", F.col("dominant_topic") + 1)), 6).alias("score"))
+    return models.best_pick(scores, "score", "k")
+
+
+@query("model_round_trip")
+def _(c):
+    """Topics of documents by a model that was saved and loaded again."""
+    import uuid
+
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    from ..session import shared_dir
+
+    t = materialize(rows(c, models.token_column(F.col("content"), STOP, 4).alias("tokens")).filter("size(tokens) > 0"), "tokens")
+    cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=5, vocabSize=models.VOCABULARY).fit(t)
+    x = cv.transform(t)
+    path = f"{shared_dir(c.spark)}/model-{uuid.uuid4().hex}"
+    models.save_model(LDA(k=5, seed=42, maxIter=5).fit(x), path)
+    d = models.vector_to_array("topicDistribution")
+    return models.load_model(path).transform(x).select("id", F.array_position(d, F.array_max(d)).cast("int").alias("topic"))

@@ -34,17 +34,17 @@ def _(c):
     return top_per_group(m.groupBy("label", "text").agg(F.count("*").alias("n")), ["label"], [F.desc("n"), F.col("text")], 15).drop("rank")
 
 
-TOPW = rf"""(SELECT id, w, count(*) AS n, min(p) AS f FROM (SELECT id, unnest(t) AS w, unnest(range(0, len(t))) AS p FROM (SELECT id, list_filter(regexp_extract_all(lower(title), '\p{{L}}+'), lambda v: v NOT IN ({", ".join(f"'{w}'" for w in STOP)})) AS t FROM a WHERE title IS NOT NULL)) GROUP BY 1, 2)"""
+TOPW = rf"""(SELECT id, w, count(*) AS n, min(p) AS f FROM (SELECT id, unnest(t) AS w, unnest(range(0, len(t))) AS p FROM (SELECT id, list_filter(regexp_extract_all(lower(content), '\p{{L}}+'), lambda v: v NOT IN ({", ".join(f"'{w}'" for w in STOP)})) AS t FROM a WHERE content IS NOT NULL)) GROUP BY 1, 2)"""
 
 
 @query("top5_words_per_doc", ranked(TOPW, "id", "n DESC, f", 5, "id, w, n, rank"))
 def _(c):
-    return lexical.top_words(rows(c, "title"), "id", F.col("title"), STOP).select("id", "w", "n", F.col("rank").cast("long").alias("rank"))
+    return lexical.top_words(rows(c, "content"), "id", F.col("content"), STOP).select("id", "w", "n", F.col("rank").cast("long").alias("rank"))
 
 
 @query("top20_words", f"SELECT w, CAST(sum(n) AS BIGINT) AS n FROM ({ranked(TOPW, 'id', 'n DESC, f', 5, 'id, w, n')}) GROUP BY w ORDER BY 2 DESC, w LIMIT 20")
 def _(c):
-    return lexical.top_words(rows(c, "title"), "id", F.col("title"), STOP).groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(20)
+    return lexical.top_words(rows(c, "content"), "id", F.col("content"), STOP).groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(20)
 
 
 @query("top20_articles", f", {TC} SELECT id, term, n FROM tc WHERE id IN (SELECT id FROM tc GROUP BY id ORDER BY sum(n) DESC, id LIMIT 20)")

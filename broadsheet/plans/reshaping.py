@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -42,9 +44,9 @@ def _(c):
     return topic1(c).subtract(cluster3(c))
 
 
-@query("vocab_intersection", r"SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(title), '\p{L}+')) AS w FROM a WHERE d < DATE '1975-01-01') SEMI JOIN (SELECT unnest(regexp_extract_all(lower(title), '\p{L}+')) AS w FROM a WHERE d >= DATE '1975-01-01') y USING (w)")
+@query("vocab_intersection", r"SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(content), '\p{L}+')) AS w FROM a WHERE d < DATE '1975-01-01') SEMI JOIN (SELECT unnest(regexp_extract_all(lower(content), '\p{L}+')) AS w FROM a WHERE d >= DATE '1975-01-01') y USING (w)")
 def _(c):
-    w = rows(c, parse_date(F.col("date")).alias("d"), F.regexp_extract_all(F.lower("title"), F.lit(r"\p{L}+"), F.lit(0)).alias("t")).select((F.col("d") < F.lit("1975-01-01").cast("date")).alias("early"), F.explode("t").alias("w"))
+    w = rows(c, parse_date(F.col("date")).alias("d"), F.regexp_extract_all(F.lower("content"), F.lit(r"\p{L}+"), F.lit(0)).alias("t")).select((F.col("d") < F.lit("1975-01-01").cast("date")).alias("early"), F.explode("t").alias("w"))
     return w.filter("early is not null").groupBy("w").agg(F.bool_or("early").alias("x"), F.bool_or(~F.col("early")).alias("y")).filter("x and y").select("w")
 
 
@@ -125,7 +127,8 @@ def _(c):
 
 @query("semantic_network", f", {SIM} SELECT least(x.word, y.word) AS a, greatest(x.word, y.word) AS b, round(max((x.similarity + y.similarity) / 2), 6) AS w FROM sim x JOIN sim y ON x.term = y.term AND x.period = y.period AND x.word < y.word WHERE (x.similarity + y.similarity) / 2 >= 0.2 GROUP BY 1, 2")
 def _(c):
-    s = similar(c)
+    # An edge's weight is a mean, so one end reaches half the limit and more: others can't be an end of any kept edge.
+    s = similar(c).filter("similarity >= 0.2 * 2 - 1")
     x = s.select("term", "period", F.col("word").alias("wx"), F.col("similarity").alias("sx"))
     y = s.select("term", "period", F.col("word").alias("wy"), F.col("similarity").alias("sy"))
     p = x.join(y, ["term", "period"]).filter("wx < wy").withColumn("w", (F.col("sx") + F.col("sy")) / 2).filter("w >= 0.2")
@@ -139,11 +142,13 @@ def _(c):
 
 @query("scan_json", "SELECT id, title, year FROM articles")
 def _(c):
-    """Rows as JSON text and read again by the articles' schema."""
-    from ..sources.readers import ARTICLES
+    """Written as JSON files and read again by the articles' schema, of which only these columns are parsed."""
+    from ..session import shared_dir
+    from ..sources import readers, sinks
 
-    df = c.raw("articles")
-    return df.select(F.from_json(F.to_json(F.struct("id", "title", "year", "topics")), ARTICLES).alias("x")).select("x.id", "x.title", "x.year")
+    path = f"{shared_dir(c.spark)}/articles-{uuid.uuid4().hex}"
+    sinks.write_json(c.raw("articles").select("id", "title", "year", "topics", "content"), path)
+    return c.spark.read.schema(readers.ARTICLES).json(path).select("id", "title", "year")
 
 
 @query("src07", "SELECT id, canton FROM a WHERE canton = 'VD' ORDER BY id LIMIT 30 OFFSET 10")
@@ -160,12 +165,24 @@ def _(c):
 
 @query("src05", "SELECT id_article, coalesce(TRY_CAST(replace(score_topic, '%', '') AS DOUBLE), 0) AS score FROM b")
 def _(c):
-    return c.biblio.select("id_article", F.coalesce(F.regexp_replace("score_topic", "%", "").try_cast("double"), F.lit(0.0)).alias("score"))
+    """Written as CSV and read again, the scores as they stand in the file."""
+    from ..session import shared_dir
+    from ..sources import readers, sinks
+
+    path = f"{shared_dir(c.spark)}/biblio-{uuid.uuid4().hex}"
+    sinks.write_csv(c.biblio.select("id_article", "titre", "score_topic", "cluster"), path)
+    return readers.read_csv(c.spark, path).select("id_article", F.coalesce(F.regexp_replace("score_topic", "%", "").try_cast("double"), F.lit(0.0)).alias("score"))
 
 
 @query("src06", "SELECT vec_id, label FROM embeddings")
 def _(c):
-    return c.raw("embeddings").select("vec_id", "label")
+    """Parquet where it can be read, else the CSV of the same name."""
+    from ..session import shared_dir
+    from ..sources import readers, sinks
+
+    path = f"{shared_dir(c.spark)}/vectors-{uuid.uuid4().hex}"
+    sinks.write_csv(c.raw("embeddings").select("vec_id", "label"), f"{path}.csv")
+    return readers.read_table(c.spark, path).select(F.col("vec_id").cast(c.raw("embeddings").schema["vec_id"].dataType).alias("vec_id"), F.col("label").cast(c.raw("embeddings").schema["label"].dataType).alias("label"))
 
 
 @query("snk04", f", {TC} SELECT CAST(sum(n) AS BIGINT) AS total_occurrences, count(DISTINCT id) AS articles_with_terms FROM tc")

@@ -32,15 +32,15 @@ def _(c):
     return rows(c, text.fix_ocr(F.col("content")).alias("t"))
 
 
-@query("tokenize", r"""SELECT id, CAST(len(coalesce(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+'), [])) AS BIGINT) AS n, coalesce(array_to_string(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+'), ' '), '') AS t FROM a""")
+@query("tokenize", r"""SELECT id, CAST(len(coalesce(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+'), [])) AS BIGINT) AS n, coalesce(array_to_string(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+'), ' '), '') AS t FROM a""")
 def _(c):
-    t = text.tokens(F.col("title"))
+    t = text.tokens(F.col("content"))
     return rows(c, F.size(t).cast("long").alias("n"), F.array_join(t, " ").alias("t"))
 
 
-@query("filter_tokens", rf"""SELECT id, array_to_string(list_filter(coalesce(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+'), []), lambda x: length(x) >= 3 AND x NOT IN ({IN_STOP})), ' ') AS t FROM a""")
+@query("filter_tokens", rf"""SELECT id, array_to_string(list_filter(coalesce(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+'), []), lambda x: length(x) >= 3 AND x NOT IN ({IN_STOP})), ' ') AS t FROM a""")
 def _(c):
-    return rows(c, F.array_join(text.filter_tokens(text.tokens(F.col("title")), STOP), " ").alias("t"))
+    return rows(c, F.array_join(text.filter_tokens(text.tokens(F.col("content")), STOP), " ").alias("t"))
 
 
 @query("clean_text", rf"""SELECT id, array_to_string(list_filter(coalesce(regexp_extract_all(lower(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(^|[^\p{{L}}\p{{N}}_])0($|[^\p{{L}}\p{{N}}_])', '\1O\2', 'g'), '(^|[^\p{{L}}\p{{N}}_])0($|[^\p{{L}}\p{{N}}_])', '\1O\2', 'g'), '(^|[^\p{{L}}\p{{N}}_])1($|[^\p{{L}}\p{{N}}_])', '\1I\2', 'g'), '(^|[^\p{{L}}\p{{N}}_])1($|[^\p{{L}}\p{{N}}_])', '\1I\2', 'g'), 'vv', 'w'), 'rn', 'm'), '[^a-zA-Z0-9\s.,!?;:\-''"]', ' ', 'g')), '[a-z0-9]+'), []), lambda x: length(x) >= 3 AND x NOT IN ({IN_STOP})), ' ') AS t FROM a""")
@@ -270,37 +270,57 @@ def _(c):
     return c.sentiment.filter("compound is not null and positive is not null").select("id", rules.amplify(F.col("compound"), -1).alias("compound"), rules.amplify(F.col("positive"), 0).alias("positive"))
 
 
-@query("vader", r"""SELECT id, CAST(p AS BIGINT) AS pos_words, CAST(n AS BIGINT) AS neg_words, round((p - n) / sqrt((p - n) * (p - n) + 15), 6) AS compound FROM (SELECT id, len(list_filter(w, lambda x: x IN ('bon', 'bonne', 'soutient', 'soutenu', 'approuve', 'satisfait', 'ravi', 'gagner', 'good'))) AS p, len(list_filter(w, lambda x: x IN ('panne', 'incendie', 'refuse', 'détruit', 'critique', 'perplexe', 'malades', 'dégâts', 'bad'))) AS n FROM (SELECT id, coalesce(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+'), []) AS w FROM a))""")
+# The twins of the rules below are put together from the rules' fixed values; hand-worked tests check the values themselves.
+BOTH = "lower(concat(coalesce(title, ''), ' ', coalesce(content, '')))"
+QUOTED = lambda ws: ", ".join("'" + w.replace("'", "''") + "'" for w in ws)
+HITS = lambda ws: " + ".join(f"CAST(contains({BOTH}, '" + w.replace("'", "''") + "') AS INTEGER)" for w in ws)
+TIMES = "len(list_distinct(flatten([" + ", ".join(f"regexp_extract_all({BOTH}, '{p}')" for p in rules.TIMES) + "])))"
+IS_AD = f"coalesce(regexp_matches(lower(title), '{rules.AD_TITLES}'), false)"
+IS_TV = f"({HITS(rules.CHANNELS)}) >= 1 AND {TIMES} >= 5"
+IS_JOB = f"({HITS(rules.JOB_WORDS)}) >= 3"
+IS_NOISE = "(" + " OR ".join(f"regexp_matches(t, '{p}')" for p in rules.NOISE) + f" OR len(regexp_extract_all(t, '{rules.SPECIAL}')) / length(t) > 0.15)"
+NOISE_TEXT = "coalesce(nullif(content, ''), nullif(original_content, ''))"
+
+STEPS = " + ".join(f"CASE WHEN b{d} IN ({QUOTED(rules.BOOSTERS)}) THEN {rules.BOOST * f} WHEN b{d} IN ({QUOTED(rules.DAMPERS)}) THEN {-rules.BOOST * f} ELSE 0 END" for d, f in enumerate(rules.FADE))
+TURNED = " OR ".join(f"b{d} IN ({QUOTED(rules.NEGATIONS)})" for d in range(3))
+
+
+@query("vader", rf""", vw AS (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM (SELECT id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+') AS w FROM a WHERE content IS NOT NULL)),
+vl AS (SELECT * FROM (VALUES {", ".join(f"('{w}', {v})" for w, v in rules.VALENCES.items())}) l(x, v)),
+vb AS (SELECT id, p, x, coalesce(lag(x, 1) OVER o, '') AS b0, coalesce(lag(x, 2) OVER o, '') AS b1, coalesce(lag(x, 3) OVER o, '') AS b2 FROM vw WINDOW o AS (PARTITION BY id ORDER BY p)),
+vs AS (SELECT id, (v + sign(v) * ({STEPS})) * CASE WHEN {TURNED} THEN {rules.NEGATE} ELSE 1 END AS s FROM vb JOIN vl USING (x)),
+vt AS (SELECT a.id, coalesce(t.n, 0) AS n, coalesce(s.pos, 0) AS pos, coalesce(s.neg, 0) AS neg, coalesce(s.total, 0) AS total, coalesce(t.n, 0) - coalesce(s.k, 0) AS neu FROM a
+ LEFT JOIN (SELECT id, count(*) AS n FROM vw GROUP BY id) t USING (id) LEFT JOIN (SELECT id, sum(CAST(CASE WHEN s > 0 THEN s + 1 ELSE 0 END AS DOUBLE)) AS pos, sum(CAST(CASE WHEN s < 0 THEN 1 - s ELSE 0 END AS DOUBLE)) AS neg, sum(CAST(s AS DOUBLE)) AS total, count(*) FILTER (WHERE s <> 0) AS k FROM vs GROUP BY id) s USING (id) WHERE content IS NOT NULL)
+SELECT id, round(CASE WHEN pos + neg + neu > 0 THEN neg / (pos + neg + neu) ELSE 0 END, 6) AS negative, round(CASE WHEN pos + neg + neu > 0 THEN neu / (pos + neg + neu) ELSE 0 END, 6) AS neutral, round(CASE WHEN pos + neg + neu > 0 THEN pos / (pos + neg + neu) ELSE 0 END, 6) AS positive, round(total / sqrt(total * total + {rules.ALPHA}), 6) AS compound FROM vt""")
 def _(c):
-    return rows(c, text.tokens(F.col("content")).alias("w")).select("id", *rules.lexicon_scores(F.col("w")))
+    return rows(c, text.tokens(F.col("content")).alias("w"), F.col("content").isNull().alias("none")).filter("not none").select("id", *rules.lexicon_scores(F.col("w")))
 
 
-@query("ad_rule", r"SELECT id, regexp_matches(lower(title), 'annonce|publicité|à vendre|à louer|promotion|soldes|ad | ad') AS is_ad FROM a WHERE title IS NOT NULL")
+@query("ad_rule", f"SELECT id, {IS_AD} AS is_ad FROM a WHERE title IS NOT NULL")
 def _(c):
     return rows(c, "title").filter("title is not null").select("id", rules.is_ad(F.col("title")).alias("is_ad"))
 
 
-@query("noise_rule", r"""SELECT id, regexp_matches(content, '[^\p{L}\p{N}_\s]{5,}') OR regexp_matches(content, '\n{5,}') OR regexp_matches(content, '[.,;:!?]{5,}') OR len(regexp_extract_all(content, '[^\p{L}\p{N}_\s]')) / length(content) > 0.15 AS is_noise FROM a WHERE content <> ''""")
+@query("noise_rule", f"SELECT id, {IS_NOISE} AS is_noise FROM (SELECT id, {NOISE_TEXT} AS t FROM a) WHERE t IS NOT NULL")
 def _(c):
-    return rows(c, "content").filter("content <> ''").select("id", rules.is_noise(F.col("content")).alias("is_noise"))
+    from ..operators.filters import text_chain
+
+    return rows(c, text_chain("content", "original_content").alias("t")).filter("t is not null").select("id", rules.is_noise(F.col("t")).alias("is_noise"))
 
 
-@query("tv_rule", r"""SELECT id, (contains(lower(content), 'tv') OR contains(lower(content), 'radio') OR contains(lower(content), 'canal') OR contains(lower(content), 'chaîne')) AND len(list_distinct(list_concat(list_concat(regexp_extract_all(content, '[0-9]{1,2}h[0-9]{2}'), regexp_extract_all(content, '[0-9]{1,2} h [0-9]{2}')), list_concat(regexp_extract_all(content, '[0-9]{1,2}:[0-9]{2}'), regexp_extract_all(content, '[0-9]{1,2}\.[0-9]{2}'))))) >= 5 AS is_tv FROM a WHERE content IS NOT NULL""")
+@query("tv_rule", f"SELECT id, {IS_TV} AS is_tv FROM a")
 def _(c):
-    return rows(c, "content").filter("content is not null").select("id", rules.is_tv(F.col("content")).alias("is_tv"))
+    return rows(c, "title", "content").select("id", rules.is_tv(F.col("title"), F.col("content")).alias("is_tv"))
 
 
-@query("job_rule", "SELECT id, (" + " + ".join(f"CAST(contains(lower(content), '{w}') AS INTEGER)" for w in rules.JOB_WORDS) + ") >= 3 AS is_job FROM a WHERE content IS NOT NULL")
+@query("job_rule", f"SELECT id, {IS_JOB} AS is_job FROM a")
 def _(c):
-    return rows(c, "content").filter("content is not null").select("id", rules.is_job(F.col("content")).alias("is_job"))
+    return rows(c, "title", "content").select("id", rules.is_job(F.col("title"), F.col("content")).alias("is_job"))
 
 
-@query("classify_rules", r"""SELECT id, CASE WHEN ad THEN 'ad' WHEN tv THEN 'tv' WHEN job THEN 'job' WHEN noise THEN 'noise' ELSE 'normal' END AS class FROM (SELECT id, coalesce(regexp_matches(lower(title), 'annonce|publicité|à vendre|à louer|promotion|soldes|ad | ad'), false) AS ad,
- (contains(lower(content), 'tv') OR contains(lower(content), 'radio') OR contains(lower(content), 'canal') OR contains(lower(content), 'chaîne')) AND len(list_distinct(list_concat(list_concat(regexp_extract_all(content, '[0-9]{1,2}h[0-9]{2}'), regexp_extract_all(content, '[0-9]{1,2} h [0-9]{2}')), list_concat(regexp_extract_all(content, '[0-9]{1,2}:[0-9]{2}'), regexp_extract_all(content, '[0-9]{1,2}\.[0-9]{2}'))))) >= 5 AS tv,
- (""" + " + ".join(f"CAST(contains(lower(content), '{w}') AS INTEGER)" for w in rules.JOB_WORDS) + r""") >= 3 AS job,
- regexp_matches(content, '[^\p{L}\p{N}_\s]{5,}') OR regexp_matches(content, '\n{5,}') OR regexp_matches(content, '[.,;:!?]{5,}') OR len(regexp_extract_all(content, '[^\p{L}\p{N}_\s]')) / length(content) > 0.15 AS noise FROM a WHERE content <> '')""")
+@query("classify_rules", f"SELECT id, CASE WHEN {IS_AD} THEN 'ad' WHEN {IS_TV} THEN 'tv' WHEN {IS_JOB} THEN 'job' WHEN coalesce({IS_NOISE}, false) THEN 'noise' ELSE 'normal' END AS class FROM (SELECT id, title, content, {NOISE_TEXT} AS t FROM a)")
 def _(c):
-    return rows(c, "content", "title").filter("content <> ''").select("id", rules.classify(F.col("title"), F.col("content")).alias("class"))
+    return rows(c, "content", "title", "original_content").select("id", rules.classify(F.col("title"), F.col("content"), F.col("original_content")).alias("class"))
 
 
 @query("text_features", r"""SELECT id, CAST(length(content) AS BIGINT) AS n_chars, CAST(len(list_filter(regexp_split_to_array(trim(content), '\s+'), lambda x: x <> '')) AS BIGINT) AS n_words, round(len(regexp_extract_all(content, '\p{Nd}')) / length(content), 6) AS digits, round(len(regexp_extract_all(content, '\p{Lu}')) / length(content), 6) AS capitals FROM a WHERE content <> ''""")

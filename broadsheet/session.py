@@ -37,11 +37,14 @@ def get_spark(app: str = "broadsheet", cpus: int | str = "*", **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, else a local one made once per application."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else, with a local master only, a local one made once per application."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share; a folder of the driver's machine would lose tables")
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="broadsheet-")
     return _LOCAL[app]

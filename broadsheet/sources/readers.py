@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +96,51 @@ def find_documents(df: DataFrame, where=None, columns: list[str] | None = None,
     df = df.offset(skip) if skip else df
     df = df.limit(limit) if limit is not None else df
     return df.select(*columns) if columns else df
+
+
+def newest_clusters(spark: SparkSession, folder: str) -> str | None:
+    """The last written file of clusters in a folder, ``doc_clusters_k<number>[_...].json``; none without a number."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/doc_clusters_k*.json")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    good = [s for s in found if re.fullmatch(r"doc_clusters_k\d+(?:[_.].*)?\.json|doc_clusters_k\d+\.json", s.getPath().getName())]
+    best = max(good, key=lambda s: (s.getModificationTime(), s.getPath().toString()), default=None)
+    return best.getPath().toString() if best else None
+
+
+def base_source(config: dict, custom: dict | None = None, root: str = ".") -> str:
+    """The articles' file: the custom source where one is set, else the one the configuration names."""
+    if custom and custom.get("main_source"):
+        return custom["main_source"]
+    data = config.get("data", {})
+    return f"{root}/{data['processed_dir']}/{data.get('files', {}).get('articles', 'articles.json')}"
+
+
+def article_sources(spark: SparkSession, config: dict, results: str | None = None, root: str = ".") -> list[str]:
+    """Where articles may lie, in the order in which they are tried: the results file, the articles that belong to a
+    summary of entities, the newest articles with entities, the newest with sentiment, the base articles."""
+    out = [results] if results else []
+    if results and "entity_summary" in results:
+        out.append(results.replace("entity_summary", "articles_with_entities"))
+    for folder, stem in (("entity_recognition", "articles_with_entities"), ("sentiment_analysis", "articles_with_sentiment")):
+        out.append(newest(spark, f"{root}/data/results/{folder}/{stem}_*.json"))
+    return [x for x in [*out, f"{root}/{config['data']['processed_dir']}/articles.json"] if x]
+
+
+def resolve_articles(spark: SparkSession, config: dict, results: str | None = None, root: str = ".") -> DataFrame:
+    """The articles of the first source that can be read; an empty table if there is none."""
+    for path in article_sources(spark, config, results, root):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            df = spark.read.schema(ARTICLES).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+            if not df.filter("id is not null").isEmpty():
+                return df
+    return spark.createDataFrame([], ARTICLES)
+
+
+def read_table(spark: SparkSession, stem: str) -> DataFrame:
+    """``<stem>.parquet``, or ``<stem>.csv`` where there is no such file."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{stem}.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.read.parquet(f"{stem}.parquet")
+    return read_csv(spark, f"{stem}.csv")

@@ -48,8 +48,8 @@ def test_sentiment_edges(spark):
 
 
 def test_class_priority(spark):
-    tv = "TV Un\n" + "\n".join(f"1{k}h05 film" for k in range(6))
-    rows = [("Petite annonce", tv), ("x", tv), ("x", "emploi poste salaire"), ("x", "!!!!!! voilà"), ("x", "Le conseil se réunit."), (None, "Le conseil se réunit.")]
+    tv = "TSR 1\n" + "\n".join(f"1{k}h05 film" for k in range(6))
+    rows = [("Petite annonce", tv), ("x", tv), ("x", "Candidature, recrutement : CDI"), ("x", "!!!!!! voilà"), ("x", "Le conseil se réunit."), (None, "Le conseil se réunit.")]
     df = spark.createDataFrame(rows, "t string, c string")
     assert [r[0] for r in df.select(rules.classify(F.col("t"), F.col("c"))).collect()] == ["ad", "tv", "job", "noise", "normal", "normal"]
 
@@ -184,3 +184,70 @@ def test_near_duplicates_without_a_common_run(spark):
                 new.append(row[k] + 1 if c == e else max(row[k + 1], new[k]))
             row = new
         assert dedup.common_subsequence(x, dedup.places(y), len(y)) == row[-1]
+
+
+def test_rules_by_hand(spark):
+    times = "9.05 puis 10:30, 11h, 12h30, à 13 h 15 et 14 heures"
+    rows = [
+        ("Soirée", f"Sur TF1 : {times}", True, False), ("TSR 1", f"{times}", True, False), ("Radio", f"tv radio canal chaîne {times}", False, False), ("M6", "9.05 et encore 9.05, 10:30", False, False), (None, None, False, False),
+        ("Recrutement", "Envoyez votre candidature, CDI", False, True), ("x", "emploi poste salaire engage contrat", False, False), ("Offre d'emploi", "poste à pourvoir", False, False), ("Temps plein", "cdd, embauche", False, True),
+    ]
+    df = spark.createDataFrame(rows, "t string, c string, tv boolean, job boolean")
+    got = df.select("tv", "job", rules.is_tv(F.col("t"), F.col("c")).alias("a"), rules.is_job(F.col("t"), F.col("c")).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(r.tv, r.job) for r in got]
+    noisy = [("(voir p. 3) - oui ! non ?", False), ("§§§§§ a b c d e f g h i j k l m n o p q", True), ("a#b#c#d", True), ("a,b;c:d!", False), ("un....; deux", True), ("a\n \n\n\t\n\nb", True), ("a\n\n\n\nb", False), ("prix : 3 francs      oui", False)]
+    df = spark.createDataFrame(noisy, "c string, want boolean")
+    assert all(r.want == r.got for r in df.select("want", rules.is_noise(F.col("c")).alias("got")).collect())
+    ads = [("Annonces", True), ("ad", True), ("Head of", True), ("Le grand soir", False), ("À vendre", False)]
+    assert [r[0] for r in spark.createDataFrame(ads, "t string, w boolean").select(rules.is_ad(F.col("t"))).collect()] == [w for _, w in ads]
+    chain = spark.createDataFrame([("", "#" * 9), (None, None)], "c string, o string").select(rules.classify(F.lit("x"), F.col("c"), F.col("o")))
+    assert [r[0] for r in chain.collect()] == ["noise", "normal"]
+
+
+def test_valences(spark):
+    say = lambda s: spark.createDataFrame([(s.split(),)], "w array<string>").select(*rules.lexicon_scores(F.col("w"), {"bon": 2.0, "panne": -1.5})).first()
+    norm = lambda s: round(s / (s * s + 15) ** 0.5, 6)
+    assert say("le repas bon").compound == norm(2.0) and say("le repas très bon").compound == norm(2.293) and say("très le bon").compound == norm(2.0 + 0.293 * 0.95)
+    assert say("pas très bon").compound == norm(2.293 * -0.74) and say("peu bon").compound == norm(2 - 0.293) and say("très panne").compound == norm(-1.793)
+    r = say("bon panne rien")
+    assert (r.positive, r.negative, r.neutral) == (round(3 / 6.5, 6), round(2.5 / 6.5, 6), round(1 / 6.5, 6))
+    e = spark.createDataFrame([([],)], "w array<string>").select(*rules.lexicon_scores(F.col("w"))).first()
+    assert tuple(e) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_entity_spans(spark):
+    t = "Élodie Zanbruvay vit à Grand Val, près d’Élodie Zanbruvay. Été ici."
+    df = spark.createDataFrame([(1, t), (2, None), (3, " "), (4, "Rien ici")], "id int, c string")
+    got = entities.labelled(entities.spans(df, "id", F.col("c")), spark.createDataFrame([("Élodie Zanbruvay", "PER")], "text string, label string")).collect()
+    assert all(t[r.start : r.end] == r.text for r in got)
+    assert sorted((r.text, r.label, r.start) for r in got) == [("Grand Val", "MISC", 23), ("Élodie Zanbruvay", "PER", 0), ("Élodie Zanbruvay", "PER", 41)]
+    g = entities.gazetteer(spark.createDataFrame([("A B", "ORG"), ("A B", "PER"), ("A B", "PER"), (None, "PER")], "text string, label string"))
+    assert [tuple(r) for r in g.collect()] == [("A B", "PER")]
+
+
+def test_lexical_counts_and_tag_ratios(spark):
+    df = spark.createDataFrame([(1, "Le chat et le chien. Le chat dort !"), (2, None), (3, "123")], "id int, t string")
+    r = lexical.statistics(df, "id", F.col("t")).collect()
+    import math
+
+    n = [3, 2, 1, 1, 1]
+    assert [(x.id, x.num_tokens, x.num_types, x.num_sentences) for x in r] == [(1, 8, 5, 2)] and abs(r[0].entropy - -sum(k / 8 * math.log2(k / 8) for k in n)) < 1e-4
+    assert {x.id: x.top_words for x in lexical.top_words_string(df, "id", F.col("t"), ["le"], 2).collect()} == {1: "chat:2,et:1"}
+    tagger = lambda texts: [["NOUN" if w[0] == "c" else "DET" for w in t.split()] for t in texts]
+    got = {x.id: (x.lexical_density, x.pos_NOUN, x.pos_ADV) for x in lexical.tag_ratios(df, "id", "t", tagger).collect()}
+    assert got == {1: (3 / 9, 3 / 9, 0.0), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0)}
+
+
+def test_numbers_without_gaps_and_best_pick(spark):
+    df = spark.createDataFrame([(f"k{i % 700}",) for i in range(1500)], "k string")
+    got = [r.n for r in models.numbered(df, "k", "n", parts=16).collect()]
+    assert sorted(got) == list(range(700))
+    s = spark.createDataFrame([(3, 0.5), (2, 0.9), (5, 0.9), (4, None)], "k int, score double")
+    assert models.best_pick(s, "score", "k").first().k == 2 and models.best_pick(s.filter("score is not null"), "score", "k", highest=False).first().k == 3
+
+
+def test_clicks():
+    click = filters.click_filter
+    assert click("sentiment-by-newspaper", {"x": "A", "label": "B"}) == ("newspaper", "B", "B") and click("sentiment-by-date", {"x": "1990"}) == ("date", "1990", "1990")
+    assert click("sentiment-pie", {"label": "Positif"}) == ("sentiment_category", "positif", None) and click("sentiment-histogram", {"x": 0.3}) == ("sentiment_score", 0.3, None)
+    assert click("entity-frequency-PER", {"x": "A"}) == ("entity", "A", "A") and click("entity-top-articles", {}, "id1") == ("article_id", "id1", None) and click("other", {}) == (None, None, None)

@@ -91,3 +91,69 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = {(r.start.hour, r.event_type): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(0, "a"): 2, (1, "b"): 1}, "the last window waits for its watermark"
+
+
+def test_where_articles_come_from(spark, tmp_path):
+    import json
+    import os
+
+    config = {"data": {"processed_dir": "data/processed", "files": {"articles": "all.json"}}}
+    assert readers.base_source(config, {"main_source": "/x.json"}) == "/x.json" and readers.base_source(config, {}, "/r") == "/r/data/processed/all.json"
+    put = lambda p, ids: (p.parent.mkdir(parents=True, exist_ok=True), p.write_text(json.dumps([{"id": i, "title": "t"} for i in ids])))
+    root = str(tmp_path)
+    ids = lambda **k: {r.id for r in readers.resolve_articles(spark, config, root=root, **k).collect()}
+    assert ids() == set()
+    put(tmp_path / "data/processed/articles.json", ["base"])
+    assert ids() == {"base"}
+    put(tmp_path / "data/results/sentiment_analysis/articles_with_sentiment_1.json", ["sentiment"])
+    assert ids() == {"sentiment"}
+    put(tmp_path / "data/results/entity_recognition/articles_with_entities_1.json", ["old"])
+    put(tmp_path / "data/results/entity_recognition/articles_with_entities_0.json", ["new"])
+    os.utime(tmp_path / "data/results/entity_recognition/articles_with_entities_1.json", (1, 1))
+    assert ids() == {"new"}
+    put(tmp_path / "s/articles_with_entities_9.json", ["sibling"])
+    assert ids(results=str(tmp_path / "s/entity_summary_9.json")) == {"sibling"}
+    put(tmp_path / "r.json", ["given"])
+    assert ids(results=str(tmp_path / "r.json")) == {"given"}
+    for name, at in (("doc_clusters_k5.json", 10), ("doc_clusters_k12_vaud.json", 30), ("doc_clusters_kx.json", 90), ("other_k3.json", 95)):
+        put(tmp_path / "c" / name, [])
+        os.utime(tmp_path / "c" / name, (at, at))
+    assert readers.newest_clusters(spark, f"{root}/c").endswith("doc_clusters_k12_vaud.json") and readers.newest_clusters(spark, f"{root}/none") is None
+
+
+def test_sidecar_graph_and_steps(spark, tmp_path):
+    import json
+    from xml.etree import ElementTree
+
+    import pytest
+
+    from broadsheet.catalog import StepCache
+
+    s = spark.createDataFrame([("a", "1950s", "x", 0.5), ("a", "1950s", "y", 0.9), ("b", "1960s", "x", 0.1)], "term string, period string, word string, similarity double")
+    sinks.write_similar_terms(s, f"{tmp_path}/similar.csv", {"model": "é", "n": 3})
+    assert json.loads((tmp_path / "similar.meta.json").read_text()) == {"model": "é", "n": 3}
+    assert {(r.term, r.word, r["rank"]) for r in readers.read_csv(spark, f"{tmp_path}/similar.csv").collect()} == {("a", "y", "1"), ("a", "x", "2"), ("b", "x", "1")}
+    e = spark.createDataFrame([("é & <", "b", 2), ("b", "c", 1)], "a string, b string, weight int")
+    sinks.write_gexf(e, f"{tmp_path}/g.gexf")
+    tree = ElementTree.parse(tmp_path / "g.gexf")
+    assert {n.get("label") for n in tree.iter("{http://www.gexf.net/1.2draft}node")} == {"é & <", "b", "c"} and len(list(tree.iter("{http://www.gexf.net/1.2draft}edge"))) == 2
+    with pytest.raises(ValueError):
+        sinks.write_gexf(e, f"{tmp_path}/h.gexf", most=1)
+    made = []
+    cache = StepCache(spark, f"{tmp_path}/cache")
+    make = lambda: made.append(1) or s
+    for settings in ({"pos": ["NOUN"]}, {"pos": ["NOUN"]}, {"pos": ["VERB"]}):
+        assert cache.get("articles.json", settings, 3, "t0", make).count() == 3
+    assert len(made) == 2 and cache.inventory().count() == 2 and all(v > 0 for v in cache.sizes().values())
+
+
+def test_no_local_tables_on_a_cluster(monkeypatch):
+    import types
+
+    import pytest
+
+    from broadsheet import session
+
+    far = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d=None: d), sparkContext=types.SimpleNamespace(applicationId="app-x", master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(far)
