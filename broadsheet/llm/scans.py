@@ -4,8 +4,8 @@ Method: symmetric-delete index over the corpus's frequency lexicon. All words of
 and every odd or rare token is entered under all strings it becomes by deleting up to two letters, and a hash join of
 these gives the candidates. A weighted edit distance in which confusion pairs of scanning cost little (rn for m, 1 for l)
 and any other edit too much keeps those that can be a misreading; among several, counts of the bigrams with the words
-beside the token decide. Broken words are joined where the lexicon has the whole; headers are the known names of papers
-in capitals or beside a date, page numbers the forms they take on a line of their own or between words.
+beside the token decide. Broken words are joined where the lexicon has the whole; headers are the name of the text's own
+paper in capitals or beside a date, page numbers the forms they take on a line of their own or between words.
 
 Defined results: null and blank fields have no row; texts of which less than half is sentences are no case and stay as
 they are; rows equal in key and text give one row; texts are read whole; papers without a name give no headers.
@@ -40,6 +40,8 @@ SIGNS = "0135689@|†ν"
 EDGES = " .,;:!?«»()\"“”„[]…*\t\n\r"
 ELISION = re.compile(r"^(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu|presqu|quelqu|aujourd|un|all|dell|nell|dall|sull)['’](?=[^\W_@|†])", re.I)
 ODD = re.compile(rf"[^\W\d_][{SIGNS}]|[{SIGNS}][^\W\d_]|[^\W\d_]'[^\W\d_]")
+#: Letters up to which all deletions are entered.
+LONG = 40
 #: Marks the entry of a plain word's occurrences with capitals.
 CAPITAL = "\x02"
 PLAIN = re.compile(r"[^\W\d_]{2,}")
@@ -80,24 +82,26 @@ class Cores(dict):
 
 
 class Furniture:
-    """Headers and page numbers. ``papers`` are the names of the papers."""
+    """Headers and page numbers. ``papers`` are names of papers to look for in texts whose own paper isn't known."""
 
-    def __init__(self, papers: list[str]):
-        self.papers = sorted({p.strip() for p in papers if p and len(p.strip()) > 3}, key=lambda p: (-len(p), p))
+    def __init__(self, papers: list[str] = ()):
+        self.papers = sorted({p.strip() for p in papers if p and p.strip()}, key=lambda p: (-len(p), p))
         self.made: dict[str, re.Pattern] = {}
 
     def pattern(self, paper: str) -> re.Pattern:
         if paper not in self.made:
+            if len(self.made) > 5000:
+                self.made.clear()
             p, up = re.escape(paper), re.escape(paper.upper())
             self.made[paper] = re.compile(
                 rf"(?<!\S){up}(?:[ \t]+\d{{1,4}})?(?=\s|$)|\|[ \t]*{p}[ \t]*\|[ \t]*{DATE}(?:\s+\d{{1,4}}(?=\s|$))?|(?<!\S){p} — {DATE}(?:\s+\d{{1,4}}(?=\s|$))?|(?<!\S){DATE}, {p}(?:\s+\d{{1,4}}(?=\s|$))?(?!\w)"
             )
         return self.made[paper]
 
-    def strip(self, text: str) -> tuple[str, int]:
-        """The text without furniture, and how many pieces of it there were."""
+    def strip(self, text: str, paper: str | None = None) -> tuple[str, int]:
+        """The text without furniture, of its own ``paper``, and how many pieces of it there were."""
         n = 0
-        for p in self.papers:
+        for p in [paper] if paper else self.papers:
             if p in text or p.upper() in text:
                 text, k = self.pattern(p).subn("\x00", text)
                 n += k
@@ -119,6 +123,21 @@ def deletes(word: str, most: int = 2) -> set[str]:
     return out
 
 
+def index_keys(word: str, meant: bool, slack: int = 3) -> set[str]:
+    """The strings under which a word is entered: what deletions make of it and, of long words, quarters with their place."""
+    n, out = len(word), set()
+    if n <= LONG + (slack if meant else 0):
+        out = deletes(word)
+    if not meant and n > LONG:
+        out.update(f"{n} {k} {word[k * n // 4 : (k + 1) * n // 4]}" for k in range(4))
+    if meant:
+        for m in range(max(LONG + 1, n - slack), n + slack + 1):
+            for k in range(4):
+                a, z = k * m // 4, (k + 1) * m // 4
+                out.update(f"{m} {k} {word[a + d : z + d]}" for d in range(-slack, slack + 1) if a + d >= 0)
+    return out
+
+
 def misreading(seen: str, meant: str, price: float = 0.4, limit: float = 1.3) -> float | None:
     """Cost of taking ``meant`` for ``seen`` by confusion pairs alone; None beyond ``limit``."""
     best = [None] * (len(seen) + 1)
@@ -139,26 +158,39 @@ def misreading(seen: str, meant: str, price: float = 0.4, limit: float = 1.3) ->
     return (best[len(seen)] or {}).get(len(meant))
 
 
-def _texts(docs: DataFrame, fields: list[str]) -> DataFrame:
-    return docs.select(*(F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(fields)))
+def with_paper(docs: DataFrame, fields: list[str], key: str, paper: str, most: int) -> DataFrame:
+    """``key, p, f0, f1, ...``: the fields and the name of each row's own paper.
 
-
-def _rows(b: pa.RecordBatch) -> Iterator[str]:
-    """The different texts of each row."""
-    for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-        yield from {x for x in row if x}
+    Where it is missing, it is the most frequent one of the journal in the key (``<kind>_<date>_<journal>_<hash>_<suffix>``).
+    The table of journals, an entry for each title of the archive, is broadcast up to ``most`` rows.
+    """
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.nullif(F.trim(F.col(f"`{paper}`")), F.lit("")).alias("p"), *(F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(fields)))
+    if docs.schema[key].dataType.simpleString() != "string":
+        return rows
+    rows = rows.withColumn("journal", F.regexp_extract("key", r"^[^_]*_[^_]*_(.+)_[^_]*_[^_]*$", 1))
+    known = rows.filter("p is not null and journal <> ''").groupBy("journal", "p").agg(F.count("*").alias("n"))
+    known = materialize(known.groupBy("journal").agg(F.max_by("p", F.struct("n", "p")).alias("usual")), "journals")
+    rows = rows.join(F.broadcast(known) if known.count() <= most else known, "journal", "left")
+    return rows.select("key", F.coalesce("p", "usual").alias("p"), *(f"f{k}" for k in range(len(fields))))
+
+
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[str | None, list[str]]]:
+    """The paper and the different texts of each row."""
+    cols = {n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)}
+    for p, *row in zip(cols["p"], *(cols[f"f{k}"] for k in range(sum(n[0] == "f" for n in cols))), strict=True):
+        yield p, list({x for x in row if x})
 
 
-def counts(docs: DataFrame, fields: list[str], papers: list[str]) -> DataFrame:
+def counts(texts: DataFrame) -> DataFrame:
     """``kind, a, b, n``: words (kind w), odd tokens (o) and broken words (b: the two pieces) of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        furniture = Furniture(papers)
+        furniture = Furniture()
         for batch in batches:
             words: Counter = Counter()
             pieces: Counter = Counter()
-            for x in _rows(batch):
-                x, _ = furniture.strip(x)
+            for p, x in ((p, x) for p, xs in _texts(batch) for x in xs):
+                x, _ = furniture.strip(x, p)
                 if "-" in x or "¬" in x or "\xad" in x or "–" in x:
                     found = BREAK.findall(x)
                     if found:
@@ -178,7 +210,7 @@ def counts(docs: DataFrame, fields: list[str], papers: list[str]) -> DataFrame:
             c = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.string()), pa.array(c[3], pa.int64())], ["kind", "a", "b", "n"])
 
-    return _texts(docs, fields).mapInArrow(run, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return texts.drop("key").mapInArrow(run, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def corrections(table: DataFrame) -> DataFrame:
@@ -187,28 +219,33 @@ def corrections(table: DataFrame) -> DataFrame:
     Occurrences in lower case are judged by their own count, so that capitals elsewhere don't keep them; where the token
     with its capitals is too frequent for a slip (a name), the candidate is ``strict``: only the words beside it can decide
     for it. Occurrences with capitals are judged by the whole count, as a word begins sentences in any form. Words under
-    five letters are like too many others: their candidates are 200 times as frequent, and strict.
+    five letters are like too many others: their candidates are 200 times as frequent, and strict. Words over ``LONG``
+    letters, which have too many strings to become by deletions, are entered under their quarters instead: of four one is
+    untouched where three letters or pairs at most are misread, and stands in the meant word at most three places off.
     """
     words = table.filter("kind = 'w'").groupBy("a").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("b") == "", F.col("n")).otherwise(0)).alias("lower"))
-    lexicon = words.filter("n >= 3 and length(a) <= 40 and instr(a, '-') = 0").select("a", "n")
-    plain = words.filter("length(a) between 2 and 40 and instr(a, '-') = 0").select("a", "n", "lower", F.lit(False).alias("odd"))
-    odd = table.filter("kind = 'o' and length(a) between 3 and 40").select("a", "n", F.col("n").alias("lower"), F.lit(True).alias("odd"))
+    lexicon = words.filter("n >= 3 and instr(a, '-') = 0").select("a", "n")
+    plain = words.filter("length(a) >= 2 and instr(a, '-') = 0").select("a", "n", "lower", F.lit(False).alias("odd"))
+    odd = table.filter("kind = 'o' and length(a) >= 3").select("a", "n", F.col("n").alias("lower"), F.lit(True).alias("odd"))
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    def entries(meant: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import xxhash
 
-        for b in batches:
-            for s in range(0, b.num_rows, 4000):
-                part = b.slice(s, 4000)
-                keys, at = [], []
-                for k, w in enumerate(part.column(0).to_pylist()):
-                    d = [xxhash.xxh64_intdigest(x) - 2**63 for x in deletes(w)]
-                    keys += d
-                    at += [k] * len(d)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(c.take(pa.array(at, pa.int32())) for c in part.columns)], ["key", *part.schema.names])
-
-    right = lexicon.mapInArrow(entries, "key long, a string, n long").select("key", F.col("a").alias("meant"), F.col("n").alias("m"))
-    left = plain.unionByName(odd).mapInArrow(entries, "key long, a string, n long, lower long, odd boolean")
+            for b in batches:
+                for s in range(0, b.num_rows, 4000):
+                    part = b.slice(s, 4000)
+                    keys, at = [], []
+                    for k, w in enumerate(part.column(0).to_pylist()):
+                        d = [xxhash.xxh64_intdigest(x) - 2**63 for x in index_keys(w, meant)]
+                        keys += d
+                        at += [k] * len(d)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(c.take(pa.array(at, pa.int32())) for c in part.columns)], ["key", *part.schema.names])
+
+        return run
+
+    right = lexicon.mapInArrow(entries(True), "key long, a string, n long").select("key", F.col("a").alias("meant"), F.col("n").alias("m"))
+    left = plain.unionByName(odd).mapInArrow(entries(False), "key long, a string, n long, lower long, odd boolean")
     m, n, low = F.col("m"), F.col("n"), F.col("lower")
     short = ~F.col("odd") & (F.length("a") < 5) | (F.length("meant") < 4)
     ratio = F.when(short, 200).otherwise(20)
@@ -233,19 +270,19 @@ def joins(table: DataFrame) -> DataFrame:
     return whole.join(words.select(F.col("a").alias("c"), F.col("n").alias("compound")), F.concat_ws("-", "left", "right") == F.col("c"), "left").filter("whole > coalesce(compound, 0)").select(F.concat_ws(" ", "left", "right").alias("token"))
 
 
-def with_breaks(texts: DataFrame, broken: DataFrame, papers: list[str], most: int) -> tuple[DataFrame, Broadcast | None]:
+def with_breaks(texts: DataFrame, broken: DataFrame, most: int) -> tuple[DataFrame, Broadcast | None]:
     """The texts and the broken words for the tasks; over ``most`` of these, each row gets its own as ``broken`` by a join."""
     if broken.count() <= most:
         return texts, texts.sparkSession.sparkContext.broadcast({r[0] for r in broken.collect()})
-    cols = [c for c in texts.columns if re.fullmatch(r"f\d+", c)]
+    cols = ["p", *(c for c in texts.columns if re.fullmatch(r"f\d+", c))]
     texts = texts.withColumn("h", F.xxhash64(*texts.columns)) if "h" not in texts.columns else texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        furniture = Furniture(papers)
+        furniture = Furniture()
         for b in batches:
             got = []
-            for h, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got += [(h, t) for t in {f"{m[0].lower()} {m[3].lower()}" for x in {x for x in row if x} for m in BREAK.findall(furniture.strip(x)[0])}]
+            for h, p, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got += [(h, t) for t in {f"{m[0].lower()} {m[3].lower()}" for x in {x for x in row if x} for m in BREAK.findall(furniture.strip(x, p)[0])}]
             c = list(zip(*got, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string())], ["h", "token"])
 
@@ -253,18 +290,19 @@ def with_breaks(texts: DataFrame, broken: DataFrame, papers: list[str], most: in
     return texts.join(own, "h", "left").select(*texts.columns, "broken"), None
 
 
-def _broken_rows(b: pa.RecordBatch, r: Repairer, pieces: Broadcast | None) -> Iterator[str]:
-    """The different texts of each row; ``r`` knows the broken words of the row meanwhile."""
+def _broken_rows(b: pa.RecordBatch, r: Repairer, pieces: Broadcast | None) -> Iterator[tuple[str | None, str]]:
+    """The paper and the different texts of each row; ``r`` knows the broken words of the row meanwhile."""
     if pieces:
         r.broken = pieces.value
-    cols = {n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)}
-    for k, row in enumerate(zip(*(c for n, c in cols.items() if re.fullmatch(r"f\d+", n)), strict=True)):
+    own = [()] * b.num_rows if pieces else b.column("broken").to_pylist()
+    for parts, (p, xs) in zip(own, _texts(b), strict=True):
         if not pieces:
-            r.broken = set(cols["broken"][k] or ())
-        yield from {x for x in row if x}
+            r.broken = set(parts or ())
+        for x in xs:
+            yield p, x
 
 
-def decisions(docs: DataFrame, fields: list[str], fixes: DataFrame, broken: DataFrame, papers: list[str], most: int) -> DataFrame:
+def decisions(texts: DataFrame, fixes: DataFrame, broken: DataFrame, most: int) -> DataFrame:
     """``key, meant`` for every context of a token with several candidates; the key is the word before, the token, the word after.
 
     A candidate's score is what its misreading costs less what the corpus's bigrams with the words beside it are worth; one
@@ -275,27 +313,30 @@ def decisions(docs: DataFrame, fields: list[str], fixes: DataFrame, broken: Data
     several = materialize(fixes.filter((F.size("found") > 1) | F.exists("found", lambda x: x["strict"])), "several")
     options = several.select("token", F.inline("found"))
     wanted = several.select(F.lit("t").alias("kind"), F.col("token").alias("w")).unionByName(options.select(F.explode(F.array(F.lit("l"), F.lit("r"))).alias("kind"), F.col("meant").alias("w"))).distinct()
-    known = docs.sparkSession.sparkContext.broadcast({k: frozenset(r[1] for r in got if r[0] == k) for got in [wanted.collect()] for k in "tl"}) if wanted.count() <= most else None
+    known = texts.sparkSession.sparkContext.broadcast({k: frozenset(r[1] for r in got if r[0] == k) for got in [wanted.collect()] for k in "tl"}) if wanted.count() <= most else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, cores = Repairer(papers, frozenset(), {}, set(), {}), Cores()
+        r, cores = Repairer([], frozenset(), {}, set(), {}), Cores()
         tokens, meant = (known.value["t"], known.value["l"]) if known else (None, None)
         for b in batches:
             seen: Counter = Counter()
-            for x in _broken_rows(b, r, pieces):
-                x, _, _ = r.whole(x)
+            bigrams: Counter = Counter()
+            for p, x in _broken_rows(b, r, pieces):
+                x, _, _ = r.whole(x, p)
                 both = [cores[t] for t in x.split()]
                 t = ["", *(c for c, _ in both), ""]
-                for k, (c, e) in enumerate(both, 1):
-                    if tokens is None or e in tokens:
-                        seen["t", t[k - 1], e, t[k + 1]] += 1
-                    if meant is None or c in meant:
-                        seen["l", t[k - 1], c, ""] += 1
-                        seen["r", "", c, t[k + 1]] += 1
+                for k in range(len(both)) if tokens is None else [k for k, ce in enumerate(both) if ce[1] in tokens]:
+                    seen["t", t[k], both[k][1], t[k + 2]] += 1
+                bigrams.update(zip(t, t[1:], strict=False))
+            for (u, v), n in bigrams.items():
+                if v and (meant is None or v in meant):
+                    seen["l", u, v, ""] += n
+                if u and (meant is None or u in meant):
+                    seen["r", "", u, v] += n
             c = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in c[:4]), pa.array(c[4], pa.int64())], ["kind", "before", "w", "after", "n"])
 
-    texts, pieces = with_breaks(_texts(docs, fields), broken, papers, most)
+    texts, pieces = with_breaks(texts.drop("key"), broken, most)
     seen = texts.mapInArrow(run, "kind string, before string, w string, after string, n long")
     seen = seen if known else seen.join(wanted, ["kind", "w"], "left_semi")
     seen = materialize(seen.groupBy("kind", "before", "w", "after").agg(F.sum("n").alias("n")), "contexts")
@@ -330,9 +371,9 @@ class Repairer:
             return a[1:].islower() or a.isupper()
         return b[0].islower() == (not a.isupper()) and f"{a.lower()} {b.lower()}" in self.broken
 
-    def whole(self, text: str) -> tuple[str, int, int]:
+    def whole(self, text: str, paper: str | None = None) -> tuple[str, int, int]:
         """The text without furniture and with its broken words joined; pieces of furniture, broken words."""
-        x, furniture = self.furniture.strip(text)
+        x, furniture = self.furniture.strip(text, paper)
         breaks = 0
 
         def join(m: re.Match) -> str:
@@ -346,16 +387,16 @@ class Repairer:
             x = BREAK.sub(join, x)
         return x, furniture, breaks
 
-    def repair(self, text: str) -> tuple[str, int, int, int] | None:
+    def repair(self, text: str, paper: str | None = None) -> tuple[str, int, int, int] | None:
         """``(text, broken words, misread words, pieces of furniture)``; None for what is no prose."""
-        x, furniture, breaks = self.whole(text)
+        x, furniture, breaks = self.whole(text, paper)
         both = [self.cores[t] for t in x.split()]
-        found = {}
-        for k, (c, e) in enumerate(both):
-            if e in self.fixes:
-                new = self.choose(e, both[k - 1][0] if k else "", both[k + 1][0] if k + 1 < len(both) else "")
-                if new:
-                    found[k] = c, new
+        found, fixes = {}, self.fixes
+        for k in [k for k, ce in enumerate(both) if ce[1] in fixes]:
+            c, e = both[k]
+            new = self.choose(e, both[k - 1][0] if k else "", both[k + 1][0] if k + 1 < len(both) else "")
+            if new:
+                found[k] = c, new
         if not (furniture or breaks or found):
             return (text, 0, 0, 0)
         if sum(e - b for b, e, ended in sentences(x) if is_prose(x[b:e], self.common, ended)) < 0.5 * len(x):
@@ -402,13 +443,12 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
     (tens of MB); larger ones are joined with the tokens by shuffle, so that each text gets its part of them.
     """
     spark = docs.sparkSession
-    # The names of papers, a dimension that grows with the titles of the archive, not with its texts.
-    papers = sorted(r[0] for r in docs.select(F.trim(F.col(f"`{paper}`")).alias("p")).distinct().dropna().collect())
+    rows = with_paper(docs, fields, key, paper, most)
     common = frozenset().union(*common_words(words).values())
-    table = materialize(counts(docs, fields, papers), "scan_counts")
+    table = materialize(counts(rows), "scan_counts")
     fixes = materialize(corrections(table).groupBy("token").agg(F.collect_list(F.struct("meant", "cost", "n", "strict")).alias("found")), "fixes")
     broken = materialize(joins(table).distinct(), "broken")
-    decided = materialize(decisions(docs, fields, fixes, broken, papers, most), "decided")
+    decided = materialize(decisions(rows, fixes, broken, most), "decided")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, field string" + (", repaired string, n_broken int, n_misread int, n_furniture int" if restore else "")
     names = [x.split()[0] for x in schema.split(", ")]
@@ -418,51 +458,49 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
         kinds = [first, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=False)], names)
 
-    def judge(repairer: Callable[[], Repairer] | Repairer, k, texts: tuple) -> list[tuple]:
+    def judge(repairer: Repairer, k, p: str | None, texts: list) -> list[tuple]:
         out, done = [], {}
         for f, x in zip(fields, texts, strict=True):
             if x and not x.isspace():
                 if x not in done:
-                    done[x] = repairer.repair(x)
+                    done[x] = repairer.repair(x, p)
                 r = done[x]
                 if r and sum(r[1:]):
                     out.append((k, f, *r) if restore else (k, f))
         return out
 
-    rows = docs.select(F.col(f"`{key}`").alias("key"), *(F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(fields)))
     if fixes.count() + broken.count() + decided.count() <= most:
         shared = spark.sparkContext.broadcast(({r[0]: [tuple(x) for x in r[1]] for r in fixes.collect()}, {r[0] for r in broken.collect()}, {r[0]: r[1] for r in decided.collect()}))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r = Repairer(papers, common, *shared.value)
+            r = Repairer([], common, *shared.value)
             for b in batches:
                 out = []
-                for k, *texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    out += judge(r, k, tuple(texts))
+                for k, p, *texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    out += judge(r, k, p, texts)
                 yield emit(out, b.schema.field(0).type)
 
         return rows.mapInArrow(run, schema).distinct().withColumnRenamed("key", key)
 
-    rows = rows.withColumn("h", F.xxhash64("key", *(f"f{k}" for k in range(len(fields)))))
-    cols = [f"f{k}" for k in range(len(fields))]
-
-    rows, pieces = with_breaks(rows, broken, papers, most)
+    cols = ["p", *(f"f{k}" for k in range(len(fields)))]
+    rows = rows.withColumn("h", F.xxhash64("key", *cols))
+    rows, pieces = with_breaks(rows, broken, most)
     extra = [] if pieces else ["broken"]
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, cores = Repairer(papers, frozenset(), {}, set(), {}), Cores()
+        r, cores = Repairer([], frozenset(), {}, set(), {}), Cores()
         if pieces:
             r.broken = pieces.value
         for b in batches:
             got = []
             own = [()] * b.num_rows if pieces else b.column("broken").to_pylist()
-            for h, parts, *texts in zip(b.column("h").to_pylist(), own, *(b.column(c).to_pylist() for c in cols), strict=True):
+            for h, parts, p, *texts in zip(b.column("h").to_pylist(), own, *(b.column(c).to_pylist() for c in cols), strict=True):
                 if not pieces:
                     r.broken = set(parts or ())
                 found = set()
                 for x in {x for x in texts if x}:
                     # Tokens and contexts as the repair meets them, after broken words are joined.
-                    both = [cores[t] for t in r.whole(x)[0].split()]
+                    both = [cores[t] for t in r.whole(x, p)[0].split()]
                     t, e = ["", *(c for c, _ in both), ""], [e for _, e in both]
                     found.update(e)
                     found.update(map("\t".join, zip(t, e, t[2:], strict=False)))
@@ -475,15 +513,15 @@ def find(docs: DataFrame, words: DataFrame, fields: list[str], key: str = "id",
     parts = rows.select("h", *cols, *extra).mapInArrow(tokens, "h long, token string").join(both, "token").groupBy("h").agg(F.collect_list(F.struct("token", "found", "meant")).alias("t"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Repairer(papers, common, {}, set(), {})
+        r = Repairer([], common, {}, set(), {})
         for b in batches:
             out = []
             own = [()] * b.num_rows if pieces else b.column("broken").to_pylist()
-            for k, t, parts, *texts in zip(b.column("key").to_pylist(), b.column("t").to_pylist(), own, *(b.column(c).to_pylist() for c in cols), strict=True):
+            for k, t, parts, p, *texts in zip(b.column("key").to_pylist(), b.column("t").to_pylist(), own, *(b.column(c).to_pylist() for c in cols), strict=True):
                 r.fixes = {x["token"]: [(y["meant"], y["cost"], y["n"], y["strict"]) for y in x["found"]] for x in t or () if x["found"] is not None}
                 r.broken = pieces.value if pieces else set(parts or ())
                 r.decided = {x["token"]: x["meant"] for x in t or () if x["meant"] is not None}
-                out += judge(r, k, tuple(texts))
+                out += judge(r, k, p, texts)
             yield emit(out, b.schema.field(0).type)
 
     return rows.join(parts, "h", "left").select("key", *cols, "t", *extra).mapInArrow(run_joined, schema).distinct().withColumnRenamed("key", key)
