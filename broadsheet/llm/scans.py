@@ -1,8 +1,8 @@
 """Scan noise: words broken at line ends, misread letters, running headers and page numbers (problem 5).
 
 Method: symmetric-delete index over the corpus's frequency lexicon. All words of all texts are counted; every lexicon word
-and every odd or rare token is entered under all strings it becomes by deleting up to two letters, and a hash join of
-these gives the candidates. A weighted edit distance in which confusion pairs of scanning cost little (rn for m, 1 for l)
+and every odd or rare token is entered under all strings it becomes by deleting up to two of the letters that a confusion
+pair of scanning can touch, and a hash join of these gives the candidates. A weighted edit distance in which confusion pairs of scanning cost little (rn for m, 1 for l)
 and any other edit too much keeps those that can be a misreading; among several, counts of the bigrams with the words
 beside the token decide. Broken words are joined where the lexicon has the whole; headers are the name of the text's own
 paper in capitals or beside a date, page numbers the forms they take on a line of their own or between words.
@@ -36,6 +36,10 @@ CONFUSIONS = (
 MEANT: dict[str, list[str]] = {}
 for _seen, _meant in CONFUSIONS:
     MEANT.setdefault(_seen, []).append(_meant)
+#: Single letters and pairs of the seen sides, and of the meant ones.
+SIDES = {side: tuple(frozenset(x[side] for x in CONFUSIONS if len(x[side]) == n) for n in (1, 2)) for side in (False, True)}
+#: What is misread for fewer letters than it has.
+LONGER = [seen for seen, meant in CONFUSIONS if len(seen) > len(meant)]
 SIGNS = "0135689@|†ν"
 EDGES = " .,;:!?«»()\"“”„[]…*\t\n\r"
 ELISION = re.compile(r"^(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu|presqu|quelqu|aujourd|un|all|dell|nell|dall|sull)['’](?=[^\W_@|†])", re.I)
@@ -51,6 +55,9 @@ PAGE = re.compile(
     r"(?m)^[ \t]*(?:Page \d{1,4}|p\. ?\d{1,4} / \d{1,4}|[-–—] ?\d{1,4} ?[-–—]|\[\d{1,4}\])[ \t]*$"
     r"|(?<!\S)(?:(?<!Suite )(?<!suite )Page \d{1,4}(?=\s|$)|p\. \d{1,4} / \d{1,4}(?!\S)|(?:— \d{1,4} —|- \d{1,4} -)(?!\S)|\[\d{1,4}\](?!\S))"
 )
+#: Without the first no word is broken, without the second there is no page number: what most texts are spared.
+MARK = re.compile(r"[-–¬\xad]\s")
+NUMBERED = re.compile(r"[Pp](?:age |\. ?)\d|[-–—\[] ?\d")
 DATE = r"\d{1,2}(?:er|\.)? [^\W\d_]{3,9} \d{4}"
 
 
@@ -105,8 +112,9 @@ class Furniture:
             if p in text or p.upper() in text:
                 text, k = self.pattern(p).subn("\x00", text)
                 n += k
-        text, k = PAGE.subn("\x00", text)
-        n += k
+        if NUMBERED.search(text):
+            text, k = PAGE.subn("\x00", text)
+            n += k
         if n:
             # Numbers left beside what was taken out belong to it.
             text = re.sub(r"\x00(?:\s*\x00|[ \t]*\r?\n[ \t]*\d{1,3}[ \t]*(?=\r?\n|$))*", "\x00", text)
@@ -114,20 +122,51 @@ class Furniture:
         return text, n
 
 
-def deletes(word: str, most: int = 2) -> set[str]:
+def deletes(word: str, most: int = 2, at: list[int] | None = None) -> set[str]:
+    """The word without up to ``most`` of its letters, or of those at ``at``."""
     n = len(word)
     out = {word}
     for d in range(1, min(most, n - 1) + 1):
-        for gone in combinations(range(n), d):
-            out.add("".join(c for k, c in enumerate(word) if k not in gone))
+        for gone in combinations(range(n) if at is None else at, d):
+            out.add("".join([c for k, c in enumerate(word) if k not in gone]))
     return out
 
 
+def open_places(word: str, meant: bool) -> list[int]:
+    """Where a confusion pair's seen (or meant) side stands in a word: no other letters differ between a word and its misreading."""
+    ones, pairs = SIDES[meant]
+    twos = [k for k in range(len(word) - 1) if word[k : k + 2] in pairs]
+    return sorted({k for k, c in enumerate(word) if c in ones} | set(twos) | {k + 1 for k in twos})
+
+
+def meanings(seen: str, most: int = 3) -> set[str]:
+    """All strings that ``seen`` can be a misreading of, by at most ``most`` confusions."""
+    out, now = set(), {("", 0)}
+    for _ in range(most):
+        then = set()
+        for done, i in now:
+            for j in range(i, len(seen)):
+                for w in (1, 2):
+                    for m in MEANT.get(seen[j : j + w], ()) if j + w <= len(seen) else ():
+                        then.add((done + seen[i:j] + m, j + w))
+        out.update(done + seen[i:] for done, i in then)
+        now = then
+    return out - {seen}
+
+
 def index_keys(word: str, meant: bool, slack: int = 3) -> set[str]:
-    """The strings under which a word is entered: what deletions make of it and, of long words, quarters with their place."""
+    """The strings under which a word is entered: what deletions make of it and, of long words, quarters with their place.
+
+    Of words under five letters deletions leave too little: they are entered under all that they can be misreadings of,
+    as are somewhat longer ones for meant words under four letters; meant words of that length stand under themselves.
+    """
     n, out = len(word), set()
-    if n <= LONG + (slack if meant else 0):
-        out = deletes(word)
+    if (4 if meant else 5) <= n <= LONG + (slack if meant else 0):
+        out = {x for x in deletes(word, at=open_places(word, meant)) if len(x) > 2}
+    if not meant and (n < 5 or n < 4 + slack and sum(map(word.count, LONGER)) >= n - 3):
+        out.update(f"={x}" for x in meanings(word) if n < 5 or len(x) < 4)
+    if meant and n < 5 + slack:
+        out.add(f"={word}")
     if not meant and n > LONG:
         out.update(f"{n} {k} {word[k * n // 4 : (k + 1) * n // 4]}" for k in range(4))
     if meant:
@@ -191,7 +230,7 @@ def counts(texts: DataFrame) -> DataFrame:
             pieces: Counter = Counter()
             for p, x in ((p, x) for p, xs in _texts(batch) for x in xs):
                 x, _ = furniture.strip(x, p)
-                if "-" in x or "¬" in x or "\xad" in x or "–" in x:
+                if MARK.search(x):
                     found = BREAK.findall(x)
                     if found:
                         pieces.update((a.lower(), b.lower()) for a, _, _, b in found)
@@ -244,8 +283,9 @@ def corrections(table: DataFrame) -> DataFrame:
 
         return run
 
-    right = lexicon.mapInArrow(entries(True), "key long, a string, n long").select("key", F.col("a").alias("meant"), F.col("n").alias("m"))
-    left = plain.unionByName(odd).mapInArrow(entries(False), "key long, a string, n long, lower long, odd boolean")
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    right = lexicon.repartition(tasks).mapInArrow(entries(True), "key long, a string, n long").select("key", F.col("a").alias("meant"), F.col("n").alias("m"))
+    left = plain.unionByName(odd).repartition(tasks).mapInArrow(entries(False), "key long, a string, n long, lower long, odd boolean")
     m, n, low = F.col("m"), F.col("n"), F.col("lower")
     short = ~F.col("odd") & (F.length("a") < 5) | (F.length("meant") < 4)
     ratio = F.when(short, 200).otherwise(20)
@@ -383,7 +423,7 @@ class Repairer:
             breaks += 1
             return m.group(1) + m.group(4)
 
-        if "-" in x or "¬" in x or "\xad" in x or "–" in x:
+        if MARK.search(x):
             x = BREAK.sub(join, x)
         return x, furniture, breaks
 

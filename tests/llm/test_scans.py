@@ -101,9 +101,9 @@ def test_long_words_short_papers_and_rows_without_a_paper(spark, common, prose):
     long = "donaudampfschifffahrtsgesellschaftskapitaenswitwenrente"
     assert scans.index_keys(long.replace("m", "rn", 1), False) & scans.index_keys(long, True) and scans.index_keys(long, False) & scans.index_keys(long + "rn", True)
     assert not scans.index_keys("x" * 60, False) & scans.index_keys(long, True)
-    rows = [(f"article_1950-01-0{k}_le_24_{k}a_mistral", f"{prose[0]} La {long} est là.", "24H") for k in range(5)]
-    rows += [("article_1950-01-09_le_24_9a_mistral", f"{prose[0]}\n24H   7\n{prose[12]}", None), ("article_1950-01-09_autre_9b_mistral", f"{prose[0]} Il est 24H dans la salle.", None), ("long", f"{prose[0]} La {long.replace('m', 'rn', 1)} est là.", "x")]
-    rows += [(f"m{k}", f"{prose[0]} La {long} est là.", "x") for k in range(20)]
+    rows = [(f"article_1950-01-0{k}_le_24_{k}a_mistral", f"{prose[0]} La {long} est dans la salle.", "24H") for k in range(5)]
+    rows += [("article_1950-01-09_le_24_9a_mistral", f"{prose[0]}\n24H   7\n{prose[12]}", None), ("article_1950-01-09_autre_9b_mistral", f"{prose[0]} Il est 24H dans la salle.", None), ("long", f"{prose[0]} La {long.replace('m', 'rn', 1)} est dans la salle.", "x")]
+    rows += [(f"m{k}", f"{prose[0]} La {long} est dans la salle.", "x") for k in range(20)]
     df = spark.createDataFrame(rows, "id string, content string, source string")
     got = {r.id: r for r in scans.find(df, common, ["content"], restore=True).collect()}
     assert set(got) == {"article_1950-01-09_le_24_9a_mistral", "long"} and long in got["long"].repaired and "24H" not in got["article_1950-01-09_le_24_9a_mistral"].repaired
