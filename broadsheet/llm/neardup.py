@@ -9,8 +9,10 @@ probability (1 - s^rows)^bands: 0.0016 at s = 0.5, 0.0003 at 0.55, under 0.00002
 (and then only if no third version links them). Whatever the traversal leaves is verified by the true Jaccard similarity.
 
 Texts with equal sets of shingles are one text throughout and only come apart in the result, so a text copied a million
-times costs one entry. A band's bucket with more than ``hot`` different texts is split into blocks, of which each pair is
-a subtree of its own in another task; of a block pair only links between different groups so far are kept.
+times costs one entry. Texts of a band's bucket with more than ``hot`` different ones, as boilerplate makes them, are laid
+out by their rarest shingles instead, as many as any pair of the threshold's similarity needs to share one (exact). Only
+where more than ``hot`` texts share even a rare shingle are they split into blocks, of which each pair is a subtree of its
+own in another task; of a block pair only links between different groups so far are kept.
 
 Defined results: null and blank texts have no row; a text of fewer words than a shingle equals only texts with the same
 words (or, without any word, the same signs); titles and other columns play no part; rows of equal key are one record;
@@ -88,14 +90,15 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int, rows
                         continue
                     s = shingles(x, size, known)
                     keys.append(k)
-                    ns.append(len(s))
+                    short = np.unique((s >> np.uint64(32)).astype(np.uint32))
+                    ns.append(len(short))
                     if len(s):
                         hs.append(xxhash.xxh64_intdigest(s.tobytes()) - 2**63)
                         low = (s[:, None] * mult[None, :]).min(0)
                         r = (low[None, :] * mix).reshape(bands, rows).sum(1, dtype=np.uint64) + salt
                         r ^= r >> np.uint64(32)
                         routes.append((r * _A).view(np.int64))
-                        tokens.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
+                        tokens.append(short.tobytes())
                         bits.append(bitmap(s).tobytes())
                     else:
                         hs.append(xxhash.xxh64_intdigest(" ".join(WORD.findall(x.lower())) or "\0" + x.strip()) - 2**63)
@@ -174,6 +177,28 @@ def heads(tree: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
+def rare_routes(table: DataFrame, texts: DataFrame, t: float) -> DataFrame:
+    """``h, n, route`` of the texts of crowded buckets: a route for each of their rarest shingles.
+
+    Of two texts of similarity ``t`` or more each has more than ``1 - t`` of its shingles' number to look through, the rarest
+    first, to meet one they share; so texts that share only what is common to many don't meet, and no pair is lost.
+    """
+    sets = table.filter("n > 0").join(texts, "h", "left_semi").groupBy("h").agg(F.first("tokens").alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
+            n = np.array([len(x) for x in parts], np.int64)
+            at = np.repeat(np.arange(len(parts)), n)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(n[at], pa.int32()), pa.array(np.concatenate(parts).astype(np.int64) if parts else [], pa.int64())], ["h", "n", "token"])
+
+    tokens = materialize(sets.mapInArrow(run, "h long, n int, token long"), "crowded_tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("texts"))
+    ranked = tokens.join(often, "token").groupBy("h", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "token"))).alias("x"))
+    first = F.slice("x", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9).cast("int") + 1)
+    return ranked.select("h", "n", F.explode(first).alias("x")).filter("x.texts > 1").select("h", "n", F.xxhash64(F.lit("rare"), "x.token").alias("route"))
+
+
 def candidates(table: DataFrame, t: float, bands: int, hot: int, cell_rows: int, big: int) -> tuple[DataFrame, DataFrame | None]:
     """``a, b`` of the texts (by ``h``) that a traversal leaves, each pair once; and the verified links of the stars, if any."""
     texts = table.filter("n > 0").select("h", "n", "routes").groupBy("h").agg(F.first("n").alias("n"), F.first("routes").alias("routes"))
@@ -184,12 +209,16 @@ def candidates(table: DataFrame, t: float, bands: int, hot: int, cell_rows: int,
     full = [r[0] for r in coarse.filter(F.col("count") > hot + n_rows / 65536 + 6 * (n_rows / 65536) ** 0.5).select("part").collect()]
     if full:
         sizes = routes.filter(F.expr("pmod(route, 65536)").isin(full)).groupBy("route").count().filter(F.col("count") > hot)
+        crowded = materialize(sizes.select("route"), "hot")
+        rare = materialize(rare_routes(table, routes.join(crowded, "route", "left_semi").select("h").distinct(), t), "rare_routes")
+        # What even rare shingles have in common with many is split into blocks, each pair a subtree of its own.
+        sizes = rare.groupBy("route").count().filter(F.col("count") > hot)
         sizes = materialize(sizes.select("route", F.ceil(F.col("count") / hot).cast("int").alias("blocks")), "hot")
-        split = routes.join(sizes, "route", "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.expr("cast(pmod(xxhash64(h), blocks) as int)")))
-        cold = split.filter("blocks is null").select("h", "n", "route", "side", "tree")
+        split = rare.join(sizes, "route", "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.expr("cast(pmod(xxhash64(h), blocks) as int)")))
+        single = split.filter("blocks is null").select("h", "n", "route", F.lit(0).alias("side"), F.col("route").alias("tree"))
         hots = split.filter("blocks is not null").select("h", "n", "route", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
         hots = hots.select("h", "n", "route", F.when(F.col("block") == F.col("with"), 0).when(F.col("block") < F.col("with"), 1).otherwise(2).alias("side"), F.xxhash64("route", F.least("block", "with"), F.greatest("block", "with")).alias("tree"))
-        routes = cold.unionByName(hots)
+        routes = routes.join(crowded, "route", "left_anti").select("h", "n", "route", "side", "tree").unionByName(single).unionByName(hots)
     cells = max(1, -(-n_rows // cell_rows))
 
     def shared(group: pa.Table) -> pa.Table:
@@ -202,7 +231,7 @@ def candidates(table: DataFrame, t: float, bands: int, hot: int, cell_rows: int,
         _, of, m = np.unique(out["tree"].to_numpy(), return_inverse=True, return_counts=True)
         return out.append_column("m", pa.array(m[of] if len(m) else m, pa.int32()))
 
-    met = routes.withColumn("cell", F.expr(f"pmod(xxhash64(tree), {cells})")).groupBy("cell").applyInArrow(shared, "tree long, h long, n int, side int, m int")
+    met = routes.withColumn("cell", F.expr(f"pmod(xxhash64(tree), {cells})")).repartition(cells, "cell").groupBy("cell").applyInArrow(shared, "tree long, h long, n int, side int, m int")
     met = materialize(met, "buckets")
     bits = table.select("h", "bits").join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("bits").alias("bits"))
     cells = max(1, -(-met.count() // cell_rows))
@@ -229,7 +258,7 @@ def candidates(table: DataFrame, t: float, bands: int, hot: int, cell_rows: int,
         return run
 
     def over(rows: DataFrame, stars: bool) -> DataFrame:
-        rows = rows.join(bits, "h").withColumn("cell", F.expr(f"pmod(xxhash64(tree), {cells})"))
+        rows = rows.join(bits, "h").withColumn("cell", F.expr(f"pmod(xxhash64(tree), {cells})")).repartition(cells, "cell")
         return rows.groupBy("cell").applyInArrow(walk(stars), "a long, b long").distinct()
 
     wide = met.filter(F.col("m") > big)
@@ -261,7 +290,7 @@ def verified(table: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
 
 
 def groups(
-    docs: DataFrame, key: str = "id", text: str = "content", size: int = 5, threshold: float = 0.8, bands: int = 48, rows: int = 3, hot: int = 512, cell_rows: int = 60_000, big: int = 64
+    docs: DataFrame, key: str = "id", text: str = "content", size: int = 5, threshold: float = 0.8, bands: int = 48, rows: int = 3, hot: int = 512, cell_rows: int = 200_000, big: int = 64
 ) -> DataFrame:
     """``key``, ``class`` (the least key of the group) and ``members`` (records in it) of every record with text."""
     table = materialize(signatures(docs, key, text, size, bands, rows), "signatures")

@@ -86,3 +86,16 @@ def test_empty_and_long(spark):
     long = " ".join(f"m{k}" for k in range(60_000))
     df = spark.createDataFrame([("a", long), ("b", long + " fin"), (None, long), ("c", "tout autre chose que cela")], "id string, content string")
     assert {(r.id_a, r.id_b) for r in neardup.pairs(neardup.groups(df)).collect()} == {("a", "b")}
+
+
+def test_boilerplate_does_not_pair_all_with_all(spark):
+    rng = random.Random(4)
+    boiler = " ".join(f"b{k}" for k in range(45))
+    own = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(240)]
+    rows = [(f"p{k:03}", f"{boiler} {x}") for k, x in enumerate(own)] + [(f"q{k:03}", f"{boiler} {x} suite {k}") for k, x in enumerate(own[:12])] + [(f"c{k}", f"{boiler} {own[20]}") for k in range(30)]
+    df = spark.createDataFrame(rows, "id string, content string")
+    got = neardup.groups(df, size=3, threshold=0.5, hot=20)
+    assert {(r.id_a, r.id_b) for r in neardup.pairs(got).collect()} == brute(rows, 3, 0.5)
+    table = neardup.signatures(df, "id", "content", 3, 48, 3)
+    routes = neardup.rare_routes(table, table.select("h").distinct(), 0.5)
+    assert routes.groupBy("route").count().agg({"count": "max"}).first()[0] < 20, "what is common to all is no route"
