@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tokens import TOKENIZERS, encode
 
-ITEM = pa.struct([("key", pa.int64()), ("piece", pa.int32()), ("tokens", pa.int32())])
-SCHEMA = "container_kind string, capacity int, used int, container_id string, grp long, closed boolean, items array<struct<key:bigint,piece:int,tokens:int>>"
+SCHEMA = "container_kind string, capacity int, used int, container_id string, grp long, closed boolean, items array<struct<key:{},piece:int,tokens:int>>"
 
 
 class Windows:
@@ -56,11 +56,12 @@ class Windows:
         return [(self.capacity - free, self.open[w]) for free, w in self.order]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+    item = pa.struct([("key", key), ("piece", pa.int32()), ("tokens", pa.int32())])
     c = list(zip(*rows, strict=True)) if rows else [[]] * 7
     return pa.RecordBatch.from_arrays(
         [pa.array(c[0], pa.string()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.string()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.bool_()),
-         pa.array([[{"key": k, "piece": p, "tokens": t} for k, p, t in x] for x in c[6]], pa.list_(ITEM))],
+         pa.array([[{"key": k, "piece": p, "tokens": t} for k, p, t in x] for x in c[6]], pa.list_(item))],
         ["container_kind", "capacity", "used", "container_id", "grp", "closed", "items"],
     )
 
@@ -71,6 +72,8 @@ def pack(sizes: DataFrame, kinds: dict[str, int], key: str = "doc_id", size: str
     ``kinds`` (name -> capacity) is a small parameter; every container of a kind has its capacity.
     """
     kinds = {k: int(c) for k, c in kinds.items() if k is not None and c and c > 0}
+    of_key = sizes.schema[key].dataType
+    arrow, schema = to_arrow_type(of_key), SCHEMA.format(of_key.simpleString())
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -93,8 +96,8 @@ def pack(sizes: DataFrame, kinds: dict[str, int], key: str = "doc_id", size: str
                         piece, left = piece + 1, left - capacity
                     out += [full(kind, *x) for x in state[kind].put([(k, piece, left)], left)]
             if out:
-                yield _batch(out)
-        yield _batch([(kind, kinds[kind], used, f"{kind}-{part}-o{j}", part, False, items) for kind, w in state.items() for j, (used, items) in enumerate(w.rest())])
+                yield _batch(out, arrow)
+        yield _batch([(kind, kinds[kind], used, f"{kind}-{part}-o{j}", part, False, items) for kind, w in state.items() for j, (used, items) in enumerate(w.rest())], arrow)
 
     def merge(level: int):
         def run(key_: tuple, group: pa.Table) -> pa.Table:
@@ -106,20 +109,20 @@ def pack(sizes: DataFrame, kinds: dict[str, int], key: str = "doc_id", size: str
                     n += 1
                     out.append((kind, kinds[kind], u, f"{kind}-m{level}-{grp}-{n}", grp, True, x))
             out += [(kind, kinds[kind], u, f"{kind}-m{level}-{grp}-o{j}", grp, False, x) for j, (u, x) in enumerate(w.rest())]
-            return pa.Table.from_batches([_batch(out)])
+            return pa.Table.from_batches([_batch(out, arrow)])
 
         return run
 
     from ..session import materialize
 
-    items = sizes.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{size}`").cast("int").alias("tokens")).filter(F.col("tokens") > 0)
-    now = materialize(items.mapInArrow(first, SCHEMA), "packed")
+    items = sizes.select(F.col(f"`{key}`").alias("key"), F.col(f"`{size}`").cast("int").alias("tokens")).filter(F.col("tokens") > 0)
+    now = materialize(items.mapInArrow(first, schema), "packed")
     done = now.filter("closed")
     left, level = now.filter("not closed"), 0
     groups = (left.agg(F.max("grp")).first()[0] or 0) + 1
     while True:
         groups, level = -(-groups // fan_in), level + 1
-        merged = left.withColumn("grp", F.floor(F.col("grp") / fan_in)).groupBy("container_kind", "grp").applyInArrow(merge(level), SCHEMA)
+        merged = left.withColumn("grp", F.floor(F.col("grp") / fan_in)).groupBy("container_kind", "grp").applyInArrow(merge(level), schema)
         if groups == 1:
             done = done.unionByName(merged)
             break

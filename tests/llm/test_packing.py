@@ -45,6 +45,8 @@ def test_windows_best_fit_and_emission():
 def test_empty_and_odd(spark):
     none = spark.createDataFrame([], "doc_id long, n_tokens int")
     assert packing.pack(none, {"s": 8}).count() == 0
+    named = spark.createDataFrame([("a", 5), ("b", 3), (None, 2)], "doc_id string, n_tokens int")
+    assert sorted((i.doc_id or "") for r in packing.pack(named, {"s": 8}).collect() for i in r["items"]) == ["", "a", "b"]
     zeros = spark.createDataFrame([(1, 0), (2, None), (3, 4)], "doc_id long, n_tokens int")
     assert [r.used for r in packing.pack(zeros, {"s": 8, "none": 0}).collect()] == [4]
 
