@@ -157,3 +157,15 @@ def test_no_local_tables_on_a_cluster(monkeypatch):
     far = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d=None: d), sparkContext=types.SimpleNamespace(applicationId="app-x", master="spark://host:7077"))
     with pytest.raises(RuntimeError):
         session.shared_dir(far)
+
+
+def test_tables_can_be_cleared(spark):
+    import os
+
+    from broadsheet import session
+
+    assert session.materialize(spark.range(3).toDF("n"), "small").count() == 3
+    folder = session.working_dir(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    session.clear(spark)
+    assert not os.path.exists(folder)
