@@ -234,7 +234,7 @@ def candidates(table: DataFrame, t: float, bands: int, hot: int, cell_rows: int,
     met = routes.withColumn("cell", F.expr(f"pmod(xxhash64(tree), {cells})")).repartition(cells, "cell").groupBy("cell").applyInArrow(shared, "tree long, h long, n int, side int, m int")
     met = materialize(met, "buckets")
     bits = table.select("h", "bits").join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("bits").alias("bits"))
-    cells = max(1, -(-met.count() // cell_rows))
+    cells = max(1, -(-4 * met.count() // cell_rows))  # a quarter of the rows: they carry bitmaps and spread out into pairs of nodes
 
     def walk(stars: bool):
         def run(group: pa.Table) -> pa.Table:
