@@ -38,7 +38,7 @@ FLOOR = (0.25, 0.25, 0.01, 0.10, 0.03, 0.05)
 #: 99.9 % point of chi-square with 6 degrees of freedom: what lies nearer counts for the centre and the covariance.
 NEAR = 22.46
 #: Not prose beyond this squared distance, 13 deviations: prose with scan noise, figures or wrong encoding has longer tails than
-#: a normal distribution; it reaches 140, and lists and tables begin at 260.
+#: a normal distribution; on a table of 118,303 articles it reaches 164, and lists and tables begin at 200.
 LIMIT = 170.0
 #: Share of all documents' prose that every language's model takes in besides its own.
 POOLED = 0.002
