@@ -73,6 +73,11 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for few bytes with much work, which must not be fitted to their size: those of a shuffle, or four a core if that is less."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package's code to the executors, once per application; they need not have it installed."""
     app = spark.sparkContext.applicationId
