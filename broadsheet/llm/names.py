@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graphs import connected_components
-from ..session import materialize
+from ..session import materialize, tasks
 
 #: Legal forms of companies, as they stand at the end of a name.
 LEGAL = re.compile(r"(?:\s+|^)(?:S\.\s?A\.?|SA|AG|S\.?à\.?r\.?l\.?|Sarl|SARL|SÀRL|GmbH|GMBH|SNC|&\s?Cie\.?|et\s+Cie\.?|& CIE|Holding|HOLDING)(?=\s|$)")
@@ -145,7 +145,7 @@ def cells(units: DataFrame, radius: int, sample: int, most: int, n_pivots: int |
     n = units.count()
     got = [r[0] for r in units.select("unit").orderBy(F.xxhash64("unit")).limit(sample).collect()]
     centres = spread(got, n_pivots or max(8, int(n**0.5)))
-    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tasks = tasks(units.sparkSession)
 
     def rows(cell: list[str], words: list[str], home: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array(words, pa.string()), pa.array(home, pa.bool_()), pa.array(d, pa.int32())], ["cell", "unit", "home", "d"])
@@ -157,7 +157,7 @@ def cells(units: DataFrame, radius: int, sample: int, most: int, n_pivots: int |
                 i, q, home, d = _placed(words, centres, radius)
                 yield rows([str(k) for k in q], [words[k] for k in i], home, d)
 
-    placed = materialize(units.select("unit").repartition(tasks).mapInArrow(first, CELL), "cells")
+    placed = materialize(units.select("unit").repartition(n_tasks).mapInArrow(first, CELL), "cells")
     done = None
     for _ in range(rounds):
         sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > most)
@@ -198,7 +198,6 @@ def cells(units: DataFrame, radius: int, sample: int, most: int, n_pivots: int |
 def radius_join(units: DataFrame, radius: int = 1, n_pivots: int | None = None, sample: int = 2000, most: int = 8192, block: int = 2048) -> DataFrame:
     """``a < b, distance`` of all parts (column ``unit``, distinct) within ``radius`` of each other: exact."""
     placed = cells(units, radius, sample, most, n_pivots)
-    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A cell's own parts are taken in blocks, each against the cell, so that no task holds more than one block's pairs.
     homes = placed.filter("home").groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     both = placed.join(homes, "cell")
@@ -231,7 +230,7 @@ def radius_join(units: DataFrame, radius: int = 1, n_pivots: int | None = None,
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"a": pa.array(cols[0], pa.string()), "b": pa.array(cols[1], pa.string()), "distance": pa.array(cols[2], pa.int32())})
 
-    work = materialize(own.unionByName(every), "cell_blocks").repartition(tasks, "cell", "block")
+    work = materialize(own.unionByName(every), "cell_blocks").repartition(tasks(units.sparkSession), "cell", "block")
     return work.groupBy("cell", "block").applyInArrow(join, "a string, b string, distance int").distinct()
 
 
@@ -540,8 +539,8 @@ def classes(names: DataFrame, given: DataFrame, radius: int = 1, known: int = 5)
         return pd.DataFrame({"name": group["name"], "class": group["name"].to_numpy()[of]})
 
     # Few bytes but much work: both sides are read from tables and cut into a fixed number of partitions, which isn't fitted to their size.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left, right = t.repartition(tasks, "component"), edges.repartition(tasks, "component")
+    n_tasks = tasks(spark)
+    left, right = t.repartition(n_tasks, "component"), edges.repartition(n_tasks, "component")
     return left.groupBy("component").cogroup(right.groupBy("component")).applyInPandas(settle, "name string, class string")
 
 

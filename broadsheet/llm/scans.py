@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, tasks
 from .prose import is_prose, sentences
 from .quality import common_words
 
@@ -283,9 +283,9 @@ def corrections(table: DataFrame) -> DataFrame:
 
         return run
 
-    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    right = lexicon.repartition(tasks).mapInArrow(entries(True), "key long, a string, n long").select("key", F.col("a").alias("meant"), F.col("n").alias("m"))
-    left = plain.unionByName(odd).repartition(tasks).mapInArrow(entries(False), "key long, a string, n long, lower long, odd boolean")
+    n_tasks = tasks(table.sparkSession)
+    right = lexicon.repartition(n_tasks).mapInArrow(entries(True), "key long, a string, n long").select("key", F.col("a").alias("meant"), F.col("n").alias("m"))
+    left = plain.unionByName(odd).repartition(n_tasks).mapInArrow(entries(False), "key long, a string, n long, lower long, odd boolean")
     m, n, low = F.col("m"), F.col("n"), F.col("lower")
     short = ~F.col("odd") & (F.length("a") < 5) | (F.length("meant") < 4)
     ratio = F.when(short, 200).otherwise(20)

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, tasks
 
 #: Where the tokenizers' files lie, unless a parameter says otherwise.
 TOKENIZERS = "/opt/tokenizers"
@@ -155,7 +155,7 @@ def stitch(enc: Encoder, chunks: list[tuple[int, str]]) -> list[str]:
     return out + left
 
 
-def _chunks(texts: DataFrame, size: int, overlap: int, tasks: int) -> DataFrame:
+def _chunks(texts: DataFrame, size: int, overlap: int, n_tasks: int) -> DataFrame:
     """``row, key, at, stop, last, chunk``, spread evenly; of the whole of each text, or of its ``spans`` (at, stop) if the column is there."""
     kind = texts.schema["key"].dataType.simpleString()
     spans = "spans" in texts.columns
@@ -178,7 +178,7 @@ def _chunks(texts: DataFrame, size: int, overlap: int, tasks: int) -> DataFrame:
                     )
 
     cols = ["row", "key", "text", *(["spans"] if spans else [])]
-    return texts.select(*cols).mapInArrow(cut, f"row long, key {kind}, at long, stop long, last boolean, chunk string").repartition(tasks, "row", "at")
+    return texts.select(*cols).mapInArrow(cut, f"row long, key {kind}, at long, stop long, last boolean, chunk string").repartition(n_tasks, "row", "at")
 
 
 def _encoded(chunks: DataFrame, shared: Broadcast, overlap: int, counts: bool) -> DataFrame:
@@ -234,11 +234,9 @@ def _met(parts: DataFrame) -> DataFrame:
 
 def _long(texts: DataFrame, shared: Broadcast, size: int, overlap: int, counts: bool) -> DataFrame:
     """``key`` and ids (or their number) of the texts (``row, key, text``), by chunks."""
-    spark = texts.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = materialize(texts, "long_texts")
     chars = texts.agg(F.sum("n")).first()[0] or 0
-    parts = materialize(_encoded(_chunks(texts, size, overlap, max(least, -(-chars // (64 * size)))), shared, overlap, counts), "chunks")
+    parts = materialize(_encoded(_chunks(texts, size, overlap, max(1, -(-chars // (16 * size)))), shared, overlap, counts), "chunks")
     while True:
         places = _met(parts.select("row", "at", "stop", "head_pos", "tail_pos"))
         apart = places.filter("meet is null").select("row").distinct()
@@ -249,7 +247,7 @@ def _long(texts: DataFrame, shared: Broadcast, size: int, overlap: int, counts:
         chains = places.join(apart, "row", "left_semi").withColumn("chain", F.sum(F.when(F.col("meet").isNull(), 0).otherwise(1)).over(by)).groupBy("row", "chain").agg(F.min("at").alias("at"), F.max("stop").alias("stop"), F.count("*").alias("links"))
         chains = materialize(chains.filter("links > 1").select("row", "at", "stop"), "chains")
         spans = chains.groupBy("row").agg(F.collect_list(F.struct("at", "stop")).alias("spans"))
-        again = _encoded(_chunks(texts.join(spans, "row"), size, overlap, least), shared, overlap, counts)
+        again = _encoded(_chunks(texts.join(spans, "row"), size, overlap, tasks(texts.sparkSession)), shared, overlap, counts)
         inside = chains.select("row", F.col("at").alias("a"), F.col("stop").alias("z"))
         rest = parts.join(inside, (parts["row"] == inside["row"]) & (parts["at"] >= inside["a"]) & (parts["stop"] <= inside["z"]), "left_anti")
         parts = materialize(rest.unionByName(again), "chunks")
