@@ -236,7 +236,7 @@ def _long(texts: DataFrame, shared: Broadcast, size: int, overlap: int, counts:
     """``key`` and ids (or their number) of the texts (``row, key, text``), by chunks."""
     texts = materialize(texts, "long_texts")
     chars = texts.agg(F.sum("n")).first()[0] or 0
-    parts = materialize(_encoded(_chunks(texts, size, overlap, max(1, -(-chars // (16 * size)))), shared, overlap, counts), "chunks")
+    parts = materialize(_encoded(_chunks(texts, size, overlap, max(tasks(texts.sparkSession), -(-chars // (64 * size)))), shared, overlap, counts), "chunks")
     while True:
         places = _met(parts.select("row", "at", "stop", "head_pos", "tail_pos"))
         apart = places.filter("meet is null").select("row").distinct()
