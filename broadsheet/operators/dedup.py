@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import normalize_ws, seq_ratio
+from ..session import materialize
+from . import sequences
 from .graphs import connected_components
+from .sequences import common_subsequence, places  # noqa: F401
 
 
 def exact_groups(df: DataFrame) -> DataFrame:
@@ -46,58 +49,49 @@ def day_copies(df: DataFrame, text: str = "content") -> DataFrame:
     return k.join(k.groupBy("h", "d").agg(F.min("id").alias("rep")), ["h", "d"]).select("id", "rep")
 
 
-def common_subsequence(a: str, masks: dict[str, int], m: int) -> int:
-    """Length of the longest common subsequence of ``a`` and a text of ``m`` letters, whose places by letter are ``masks``."""
-    full = (1 << m) - 1
-    v = full
-    for c in a:
-        u = v & masks.get(c, 0)
-        v = (v + u | v - u) & full
-    return m - v.bit_count()
-
-
-def places(text: str) -> dict[str, int]:
-    """For each letter the places where the text has it, as bits."""
-    out: dict[str, bytearray] = {}
-    size = len(text) // 8 + 1
-    for k, c in enumerate(text):
-        if c not in out:
-            out[c] = bytearray(size)
-        out[c][k >> 3] |= 1 << (k & 7)
-    return {c: int.from_bytes(x, "little") for c, x in out.items()}
+#: Letters of a cell of days that is compared in one piece, and of one that is still not divided.
+CELL, MOST = 120_000, 8_000_000
+#: Texts of a cell that is not divided.
+MOST_TEXTS = 32_000
 
 
 def near_duplicates(df: DataFrame, text: str = "content", days: int = 3, ratio: float = 0.85) -> DataFrame:
     """Pairs ``id_a, id_b, ratio`` at most ``days`` apart whose normalised texts have a sequence ratio of at least ``ratio``.
 
-    Pairs are between representatives: articles with the same text on the same day are one (``day_copies``). All pairs
-    within the days are compared, each met once through buckets of ``days`` days. Two bounds that the ratio can't exceed
-    come first: 2 * shorter / (shorter + longer), and the same with the longest common subsequence as matches.
+    Pairs are between representatives: articles with the same text on the same day are one (``day_copies``). Texts meet in
+    cells of consecutive days, as many as have about ``CELL`` letters; the first ``days`` of each are in the cell before as
+    well, each pair counting in one cell only. Within a cell an index finds the pairs that can reach the ratio
+    (``sequences.candidates``), and only these are compared. Cells over ``MOST`` letters are divided into parts, and
+    every two parts meet.
     """
     n = normalize_ws(F.col(text))
     base = df.select("id", "d", n.alias("t")).filter("t <> '' and d is not null")
-    base = base.groupBy(F.md5("t").alias("h"), "d").agg(F.min("id").alias("id"), F.first("t").alias("t"))
-    width = max(1, days)
-    keyed = base.select("id", "d", "t", F.floor(F.datediff("d", F.lit("1900-01-01").cast("date")) / width).alias("b"))
-    right = keyed.select(F.col("id").alias("j"), F.col("d").alias("dj"), F.col("t").alias("tj"), F.col("b").alias("bj"), F.explode(F.array("b", F.col("b") - 1)).alias("b"))
-    s, g = F.least(F.length("t"), F.length("tj")), F.greatest(F.length("t"), F.length("tj"))
-    once = (F.col("bj") > F.col("b")) & (F.col("id") != F.col("j")) | (F.col("id") < F.col("j"))
-    pairs = keyed.hint("merge").join(right, ["b"]).filter(once & (F.abs(F.datediff("d", "dj")) <= days) & (2 * s >= ratio * (s + g)))
-    first = F.col("id") < F.col("j")
-    pairs = pairs.select(F.least("id", "j").alias("id_a"), F.greatest("id", "j").alias("id_b"), F.when(first, F.col("t")).otherwise(F.col("tj")).alias("ta"), F.when(first, F.col("tj")).otherwise(F.col("t")).alias("tb"))
-    kind = pairs.schema["id_a"].dataType.simpleString()
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = lru_cache(64)(places)
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                least = ratio * (len(x) + len(y)) / 2 - 1e-6
-                keep.append(common_subsequence(x, masks(y), len(y)) >= least)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    pairs = pairs.mapInArrow(bound, f"id_a {kind}, id_b {kind}, ta string, tb string").withColumn("ratio", seq_ratio("ta", "tb"))
-    return pairs.filter(F.col("ratio") >= ratio).select("id_a", "id_b", "ratio")
+    base = base.groupBy(F.md5("t").alias("h"), "d").agg(F.min("id").alias("id"), F.first("t").alias("t")).filter("id is not null")
+    base = materialize(base.select("id", F.datediff("d", F.lit("1900-01-01").cast("date")).alias("day"), F.length("t").alias("n"), "t"), "near")
+    days = max(0, days)
+    dense = base.agg(F.sum("n"), F.count_distinct("day")).first()
+    width = max(days, 1, CELL * (dense[1] or 1) // (dense[0] or 1))
+    cell = F.floor(F.col("day") / width)
+    cells = F.when(F.pmod("day", F.lit(width)) < days, F.array(cell, cell - 1)).otherwise(F.array(cell))
+    met = base.select("id", "day", "n", "t", cell.alias("home"), F.explode(cells).alias("cell"))
+    parts = F.greatest(F.ceil(F.sum("n") / (MOST // 2)), F.ceil(F.count("*") / (MOST_TEXTS // 2)))
+    big = met.groupBy("cell").agg(F.when((F.sum("n") > MOST) | (F.count("*") > MOST_TEXTS), parts).otherwise(1).alias("k")).filter("k > 1")
+    met = met.join(F.broadcast(big), "cell", "left").withColumn("part", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), "k")).cast("int"))
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)).cast("int") - 1)))
+    met = met.select("cell", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "id", "day", (F.col("home") == F.col("cell")).alias("own"), "part", "t")
+    schema = T.StructType([T.StructField(k, base.schema["id"].dataType) for k in ("id_a", "id_b")] + [T.StructField("ratio", T.DoubleType())])
+    kind = to_arrow_type(base.schema["id"].dataType)
+
+    def compare(x: pa.Table) -> pa.Table:
+        p, q = x["p"][0], x["q"][0]
+        if p != q and pc.count_distinct(x["part"]).as_py() < 2:
+            return pa.table([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], ["id_a", "id_b", "ratio"])
+        a, b, r = sequences.similar(x["id"].to_pylist(), x["t"].to_pylist(), x["day"].to_numpy(), x["own"].to_numpy(), x["part"].to_numpy(), days, ratio)
+        return pa.table([pa.array(a, kind), pa.array(b, kind), pa.array(r, pa.float64())], ["id_a", "id_b", "ratio"])
+
+    # Few bytes with much work: partitions that AQE doesn't put together.
+    met = met.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "p", "q")
+    return met.groupBy("cell", "p", "q").applyInArrow(compare, schema)
 
 
 def merge_groups(pairs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
