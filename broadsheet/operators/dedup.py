@@ -45,7 +45,7 @@ def links_within(df: DataFrame, days: int) -> DataFrame:
 
 def day_copies(df: DataFrame, text: str = "content") -> DataFrame:
     """``id, rep``: articles with equal normalised text and date stand for one another; the least id represents them."""
-    k = df.select("id", "d", F.md5(normalize_ws(F.col(text))).alias("h")).filter(F.col("d").isNotNull())
+    k = materialize(df.select("id", "d", F.md5(normalize_ws(F.col(text))).alias("h")).filter(F.col("d").isNotNull()), "digests")
     return k.join(k.groupBy("h", "d").agg(F.min("id").alias("rep")), ["h", "d"]).select("id", "rep")
 
 
@@ -95,10 +95,14 @@ def near_duplicates(df: DataFrame, text: str = "content", days: int = 3, ratio:
 
 
 def merge_groups(pairs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
-    """``id, kept``: the least id of everything linked directly or through others, and of the copies (``id, rep``)."""
+    """``id, kept``: the least id of everything linked directly or through others, and of the copies (``id, rep``).
+
+    The links are written first: the components read them several times, and texts must be compared only once.
+    """
+    links = pairs.select("id_a", "id_b")
     if copies is not None:
-        pairs = pairs.select("id_a", "id_b").unionByName(copies.filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b")))
-    return connected_components(pairs, "id_a", "id_b").select(F.col("node").alias("id"), F.col("component").alias("kept"))
+        links = links.unionByName(copies.filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b")))
+    return connected_components(materialize(links, "links"), "id_a", "id_b").select(F.col("node").alias("id"), F.col("component").alias("kept"))
 
 
 def fix_content(df: DataFrame, threshold: float = 0.7) -> DataFrame:

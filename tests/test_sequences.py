@@ -67,3 +67,17 @@ def test_cells_and_parts_give_the_same_rows(spark, monkeypatch, cell, most, most
     assert {(r.id_a, r.id_b) for r in dedup.near_duplicates(df, days=0).collect()} == close
     number = df.withColumn("id", F.expr("try_cast(substring(id, 2) as int)"))
     assert {(r.id_a, r.id_b) for r in dedup.near_duplicates(number).collect()} == {(int(a[1:]), int(b[1:])) for a, b in want}
+
+
+def test_links_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.9), ("x", "y", 1.0)], "id_a string, id_b string, ratio double").mapInArrow(count, "id_a string, id_b string, ratio double")
+    copies = spark.createDataFrame([("z", "x"), ("x", "x")], "id string, rep string")
+    assert {r.id: r.kept for r in dedup.merge_groups(pairs, copies).collect()} == dict.fromkeys("abc", "a") | dict.fromkeys("xyz", "x")
+    assert seen.value == 3
